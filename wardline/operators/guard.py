@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline import policy
 from wardline.functions import injection, text
+from wardline.operators.ratelimit import rate_limit
+from wardline.session import materialise
 
 
 def role_gate(requests: DataFrame, role_col: str = "user_role") -> DataFrame:
@@ -64,8 +66,6 @@ def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
     pass the first three reach the limiter, so attack traffic never uses up a role's allowance.
     An unknown role is not scanned and keeps its raw query.
     """
-    from wardline.operators.ratelimit import rate_limit
-
     gated = role_gate(requests)
     checked = content_guard(gated)
     known = F.col("allowed_fields").isNotNull()
@@ -73,6 +73,8 @@ def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
                .withColumn("clean_query", F.when(known, F.col("clean_query")).otherwise(F.col("query")))
                .withColumn("flag", F.when(known, F.col("flag")).otherwise(""))
                .withColumn("block_reason", F.when(known, F.col("block_reason")).otherwise("")))
+    # Two branches read this, and a filter on `flag` pushed below it would repeat all the patterns.
+    checked = materialise(checked, "checked")
     attempts = checked.filter(known & (F.col("flag") == "")).select("request_id", "user_role", "ts")
     limited = rate_limit(attempts, prior_log).filter("blocked").select("request_id", "blocked")
     over = F.coalesce(F.col("blocked"), F.lit(False))
