@@ -34,7 +34,7 @@ def lockout(attempts: DataFrame, supervisors: DataFrame | None = None,
 
     attempts: supervisor_id, request_id, attempt_no, ts, ok. Adds failed_after (wrong PINs since the
     last correct one, history included), remaining, locks (this attempt locks the account) and
-    counted (false for an attempt after the lock, which no longer changes anything).
+    counted (false for an attempt after the lock: it changes nothing and has no counter).
 
     The counter is a distance between positions: this row's number less the number of the last
     correct row. Later rows cannot move the first lock, so one pass is exact. supervisors: snapshot
@@ -62,7 +62,8 @@ def lockout(attempts: DataFrame, supervisors: DataFrame | None = None,
     return (marked.join(locks, "supervisor_id", "left")
             .withColumn("locks", F.coalesce(place == F.col("lock_at"), F.lit(False)))
             .withColumn("counted", ~F.col("shut") & F.coalesce(place <= F.col("lock_at"), F.lit(True)))
-            .withColumn("remaining", F.greatest(F.lit(0), max_failed - F.col("failed_after")))
+            .withColumn("failed_after", F.when(F.col("counted"), F.col("failed_after")))
+            .withColumn("remaining", max_failed - F.col("failed_after"))
             .withColumn("ts", F.timestamp_micros("us"))
             .select("supervisor_id", "request_id", "attempt_no", "ts", "ok", "failed_after",
                     "remaining", "locks", "counted", "seq"))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def pin_utc(spark: SparkSession) -> SparkSession:
     """Event times are UTC everywhere; a cast must not depend on where the job runs."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -22,13 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    made = getattr(spark, "_wardline_dir", None)
-    if made is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        made = spark._wardline_dir = tempfile.mkdtemp(prefix="wardline-")
-    return made
+        _own_dirs[app] = tempfile.mkdtemp(prefix="wardline-")
+    return _own_dirs[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return (spark.readStream.schema(table(spark, sf_dir, name).schema)
+            .option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir))
+
+
 def key_of(number: str) -> Column:
     return F.concat(F.lit("S"), F.lpad(F.col(number).cast("string"), 7, "0"))
 
@@ -52,12 +58,16 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         key_of("vec_id").alias("nric"), "embedding", "label")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, conversations: DataFrame | None = None) -> DataFrame:
     """User turns as requests: a few attacks, empty, symbol-only and over-long ones among them,
-    one unknown role in five, some without a vector, some far from every stored vector."""
+    one unknown role in five, some without a vector, some with an all-zero one.
+
+    conversations: a stream of the table in place of the stored one."""
+    if conversations is None:
+        conversations = table(spark, sf_dir, "conversations")
     conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     kind = (conv * 5 + turn) % 17
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+    turns = conversations.filter("role = 'user'").select(
         "conv_id", "turn",
         F.concat_ws("-", conv.cast("string"), turn.cast("string")).alias("request_id"),
         F.timestamp_micros((conv * 90 + turn * 7 + DAY_ONE) * 1_000_000).alias("ts"),
@@ -72,6 +82,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(vec, "vec_id", "left").select(
         "request_id", "ts", "user_role", "query",
         F.when((conv * 3 + turn) % 29 == 0, F.lit(None))
+        .when((conv + turn) % 16 == 7, F.transform("embedding", lambda x: x * F.lit(0).cast("float")))
         .when((conv + turn) % 4 == 3, F.reverse("embedding")).otherwise(F.col("embedding"))
         .alias("query_vec"), "conv_id", "turn")
 
@@ -127,16 +138,16 @@ def pin_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .otherwise("0000x").alias("pin")))
 
 
-def event_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_attempts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as rate-limited attempts, the event type in place of the role."""
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"),
         F.col("event_type").alias("user_role"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-def event_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_pins(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events as PIN results: an error is a wrong PIN, a purchase a correct one."""
-    return (table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "purchase"))
+    return ((table(spark, sf_dir, "events") if events is None else events).filter(F.col("event_type").isin("error", "purchase"))
             .select(F.concat(F.lit("SUP"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("supervisor_id"),
                     F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"),
                     F.lit(1).alias("attempt_no"), F.col("ts").cast("timestamp").alias("ts"),
