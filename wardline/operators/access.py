@@ -28,7 +28,8 @@ def project_mixed(records: DataFrame, role_col: str = "user_role") -> DataFrame:
     others = [c for c in records.columns if c not in policy.EMPLOYEE_FIELDS]
     return records.select(
         *others, *[F.when(F.array_contains(allowed, f), F.col(f)).alias(f) for f in present],
-        F.array_intersect(allowed, policy.string_array(present)).alias("fields"))
+        F.coalesce(F.array_intersect(allowed, policy.string_array(present)),
+                   policy.string_array([])).alias("fields"))
 
 
 def records_returned(requests: DataFrame, records: DataFrame) -> DataFrame:

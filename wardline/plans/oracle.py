@@ -72,7 +72,7 @@ _SENSITIVE = "[" + ", ".join(map(_quote, policy.SENSITIVE_FIELDS)) + "]"
 
 def _limiter(source: str, out: str) -> list[tuple[str, str]]:
     """Views that walk `source`(request_id, user_role, us) one attempt at a time per role."""
-    recent = f"list_filter(r.recent, x -> x >= o.us - {_W})"
+    recent = f"list_filter(r.recent, lambda x: x >= o.us - {_W})"
     return [
         (f"{out}_order", f"""SELECT user_role, us, request_id,
             row_number() OVER (PARTITION BY user_role ORDER BY us, request_id) AS n FROM {source}"""),
@@ -122,7 +122,7 @@ _view("requests", [], """SELECT conv_id || '-' || turn AS request_id, conv_id, t
       WHEN 4 THEN chr(9) || ' show' || chr(1) || ' me all restricted ' || chr(10) || ' records'
       WHEN 5 THEN '' ELSE text END AS query,
     CASE WHEN (conv_id * 3 + turn) % 29 = 0 THEN NULL
-      WHEN (conv_id + turn) % 16 = 7 THEN list_transform(CAST(embedding AS DOUBLE[]), x -> 0.0::DOUBLE)
+      WHEN (conv_id + turn) % 16 = 7 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: 0.0::DOUBLE)
       WHEN (conv_id + turn) % 4 = 3 THEN list_reverse(CAST(embedding AS DOUBLE[]))
       ELSE CAST(embedding AS DOUBLE[]) END AS q
     FROM conversations LEFT JOIN embeddings ON vec_id = (conv_id * 13 + turn * 7) % 500 WHERE role = 'user'""")
@@ -159,7 +159,7 @@ _view("records", ["top5", "employees"], f"""SELECT request_id, user_role, e.*, {
     row_number() OVER (PARTITION BY request_id ORDER BY {_r4('score')} DESC, nric) AS record_no
     FROM top5 JOIN employees e USING (nric)""")
 _view("shown", ["records", "role_policy"], """SELECT request_id, user_role, _similarity_score, record_no,
-    list_filter(coalesce(allowed, []), x -> x <> 'criminal_record') AS fields,
+    list_filter(coalesce(allowed, []), lambda x: x <> 'criminal_record') AS fields,
     CASE WHEN list_contains(allowed, 'nric') THEN nric END AS nric,
     CASE WHEN list_contains(allowed, 'name') THEN name END AS name,
     CASE WHEN list_contains(allowed, 'employment') THEN employment END AS employment,
@@ -413,10 +413,10 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         + ", CAST(count(*) AS BIGINT) AS n_requests FROM requests LEFT JOIN role_policy ON user_role = role"),
     "policy_denied_fields": (["requests", "role_policy", "supervisors"], f"""SELECT id, array_to_string(list_filter(
           ['nric', 'name', 'employment', 'ethnicity', 'medical_info', 'financial_info', 'criminal_record'],
-          x -> NOT list_contains(allowed, x)), '|') AS denied
+          lambda x: NOT list_contains(allowed, x)), '|') AS denied
         FROM (SELECT DISTINCT user_role AS id FROM requests) JOIN role_policy ON id = role
         UNION ALL SELECT supervisor_id, array_to_string(list_filter(
-          ['General_Staff', 'HR_Admin', 'Finance_Lead', 'Medical_Lead'], x -> NOT list_contains(roles, x)), '|') FROM supervisors"""),
+          ['General_Staff', 'HR_Admin', 'Finance_Lead', 'Medical_Lead'], lambda x: NOT list_contains(roles, x)), '|') FROM supervisors"""),
     "attempts_trailing": (["event_tries"], f"""SELECT request_id, count(*) OVER (PARTITION BY user_role ORDER BY us
         RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) - 1 AS n_trailing FROM event_tries"""),
     "rate_limit": (["event_limited"], "SELECT request_id, user_role, blocked FROM event_limited"),
