@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,24 +64,69 @@ RULES: list[tuple[str, bool, str]] = [
 # --- end of fixed values ---
 
 
+# Words of which a text must contain at least one before a rule can match it, in rule order. A plain
+# substring test is many times cheaper than the pattern, and most texts fail all of them.
+NEEDED: list[list[str]] = [
+    ["ignore"],
+    ["disregard"],
+    ["forget"],
+    ["new", "updated", "revised"],
+    ["you are now", "act as", "pretend", "roleplay as", "imagine you are"],
+    ["grant", "give", "assign", "elevate"],
+    ["bypass", "override", "circumvent", "skip", "disable"],
+    ["show"],
+    ["restricted", "hidden", "sensitive", "protected"],
+    ["system"],
+    ["user"],
+    ["assistant"],
+    ["prompt", "instruction", "context", "configuration", "rule", "constraint"],
+    ["what"],
+    ["top_k"],
+    ["top_k", "limit", "max", "timeout", "threshold"],
+    ["return"],
+    ["--", ";", "union", "="],
+    ["__import__", "eval", "exec", "os.system", "subprocess"],
+    ["<script"],
+    ["base64"],
+    ["\\x"],
+    ["developer", "jailbreak", "dan", "do"],
+    ["hypothetically", "theoretically", "for"],
+    ["this"],
+]
+# The non-ASCII letters that case-insensitive matching equates with ASCII ones.
+FOLDED = ("\u017f\u212a\u0130\u0131", "skii")
+
+
+def folded(text: Column) -> Column:
+    """Text for the substring tests: lower case, with every letter that matches an ASCII one as that."""
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def _possible(low: Column, words: Sequence[str]) -> Column:
+    found = [F.contains(low, F.lit(w)) for w in words]
+    return reduce(lambda a, b: a | b, found)
+
+
 def java_pattern(pattern: str, ignore_case: bool) -> str:
     """The rules assume Unicode-aware classes and case folding; Java needs the flags spelled out."""
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
-def injection_rule(text: Column, rules: Sequence[tuple[str, bool, str]] = RULES) -> Column:
+def injection_rule(text: Column, low: Column | None = None) -> Column:
     """Position of the first matching rule, NULL when none matches.
 
-    Rules are tried in order inside one CASE, so a row stops at its first hit.
+    Rules are tried in order inside one CASE, so a row stops at its first hit. low: folded(text),
+    when the caller holds it as a column of its own.
     """
-    chain = F.when(text.rlike(java_pattern(rules[0][0], rules[0][1])), 0)
-    for i, (pattern, ignore_case, _) in enumerate(rules[1:], start=1):
-        chain = chain.when(text.rlike(java_pattern(pattern, ignore_case)), i)
+    low = folded(text) if low is None else low
+    chain = F
+    for i, ((pattern, ignore_case, _), words) in enumerate(zip(RULES, NEEDED, strict=True)):
+        chain = chain.when(_possible(low, words) & text.rlike(java_pattern(pattern, ignore_case)), i)
     return chain
 
 
-def rule_description(rule: Column, rules: Sequence[tuple[str, bool, str]] = RULES) -> Column:
-    names = F.array(*[F.lit(d) for _, _, d in rules])
+def rule_description(rule: Column) -> Column:
+    names = F.array(*[F.lit(d) for _, _, d in RULES])
     return F.when(rule.isNotNull(), F.get(names, rule))
 
 

@@ -14,6 +14,7 @@ from wardline import policy
 from wardline.functions import text
 from wardline.operators.ordered import MAX_KEY_ROWS, running_marks
 from wardline.operators.ratelimit import micros
+from wardline.session import materialise
 
 # --- fixed values: decision texts of the gate ---
 NO_ID = "DENIED — No supervisor ID entered"
@@ -136,7 +137,9 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
     first_ok = tried.filter("ok").groupBy("request_id").agg(F.min("attempt_no").alias("ok_no"))
     tried = (tried.join(first_ok, "request_id", "left")
              .filter(F.col("ok_no").isNull() | (F.col("attempt_no") <= F.col("ok_no"))).drop("ok_no"))
-    decided = lockout(tried, supervisors, max_key_rows=max_key_rows)
+    # read by the outcomes, the locks, the alerts and the new supervisor table
+    decided = materialise(lockout(materialise(tried, "tried"), supervisors, max_key_rows=max_key_rows),
+                          "decided")
 
     outcome = decided.filter("counted").groupBy("request_id").agg(
         F.max("ok").alias("pin_ok"), F.max("locks").alias("locked_now"))

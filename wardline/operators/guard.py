@@ -33,8 +33,9 @@ def sanitise(df: DataFrame, query_col: str = "query") -> DataFrame:
 
 def scan_injection(df: DataFrame, text_col: str, when=None) -> DataFrame:
     """Adds rule (first matching rule or NULL) and rule_description; only where `when` holds."""
-    rule = injection.injection_rule(F.col(text_col))
-    return (df.withColumn("rule", rule if when is None else F.when(when, rule))
+    rule = injection.injection_rule(F.col(text_col), F.col("_low"))
+    return (df.withColumn("_low", injection.folded(F.col(text_col)))
+            .withColumn("rule", rule if when is None else F.when(when, rule)).drop("_low")
             .withColumn("rule_description", injection.rule_description(F.col("rule"))))
 
 
@@ -76,7 +77,8 @@ def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
     # Two branches read this, and a filter on `flag` pushed below it would repeat all the patterns.
     checked = materialise(checked, "checked")
     attempts = checked.filter(known & (F.col("flag") == "")).select("request_id", "user_role", "ts")
-    limited = rate_limit(attempts, prior_log).filter("blocked").select("request_id", "blocked")
+    limited = materialise(
+        rate_limit(attempts, prior_log).filter("blocked").select("request_id", "blocked"), "blocked")
     over = F.coalesce(F.col("blocked"), F.lit(False))
     return (checked.join(limited, "request_id", "left")
             .withColumn("flag", F.when(over, "RATE_LIMITED").otherwise(F.col("flag")))

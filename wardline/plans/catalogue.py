@@ -176,7 +176,7 @@ def sanitise(spark, d):
                  F.concat(F.lit("r"), "request_id").alias("id"), F.col("query").alias("text")))
              .unionByName(m.table(spark, d, "benchmark").select(
                  F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")))
-    return guard_ops.sanitise(texts, "text").select("id", "valid", "clean_query", "reject_reason")
+    return guard_ops.sanitise(t.balanced(texts), "text").select("id", "valid", "clean_query", "reject_reason")
 
 
 @query
@@ -188,7 +188,7 @@ def injection_detect(spark, d):
                  F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"))
              .unionByName(m.requests(spark, d).select(
                  F.concat(F.lit("r"), "request_id").alias("id"), F.col("query").alias("text"))))
-    return guard_ops.scan_injection(texts, "text").select("id", "rule", "rule_description")
+    return guard_ops.scan_injection(t.balanced(texts), "text").select("id", "rule", "rule_description")
 
 
 def _guarded(spark, d):

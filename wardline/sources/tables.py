@@ -33,6 +33,15 @@ def read_personnel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return df.select(*[F.col(c).cast("string") for c in df.columns])
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Rows of a few unsplittable files, spread over the cores before row-by-row text work.
+
+    A table that already has a split per core is left as it is, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMPLOYEE_EMBEDDINGS).parquet(path)
 
