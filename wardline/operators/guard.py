@@ -52,6 +52,16 @@ def content_guard(requests: DataFrame, query_col: str = "query") -> DataFrame:
             .drop("valid", "reject_reason", "rule", "rule_description"))
 
 
+def gated_guard(requests: DataFrame) -> DataFrame:
+    """Role gate and content guard. An unknown role is not judged further and keeps its raw query."""
+    checked = content_guard(role_gate(requests))
+    known = F.col("allowed_fields").isNotNull()
+    return (checked
+            .withColumn("clean_query", F.when(known, F.col("clean_query")).otherwise(F.col("query")))
+            .withColumn("flag", F.when(known, F.col("flag")).otherwise(""))
+            .withColumn("block_reason", F.when(known, F.col("block_reason")).otherwise("")))
+
+
 def rate_reason(role: str, count: str | int = policy.RATE_LIMIT):
     """Text of a rate-limit block; a block always finds the window exactly full."""
     return F.concat(
@@ -65,15 +75,9 @@ def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
 
     Order: unknown role, then invalid query, then injection, then rate limit. Only requests that
     pass the first three reach the limiter, so attack traffic never uses up a role's allowance.
-    An unknown role is not scanned and keeps its raw query.
     """
-    gated = role_gate(requests)
-    checked = content_guard(gated)
+    checked = gated_guard(requests)
     known = F.col("allowed_fields").isNotNull()
-    checked = (checked
-               .withColumn("clean_query", F.when(known, F.col("clean_query")).otherwise(F.col("query")))
-               .withColumn("flag", F.when(known, F.col("flag")).otherwise(""))
-               .withColumn("block_reason", F.when(known, F.col("block_reason")).otherwise("")))
     # Two branches read this, and a filter on `flag` pushed below it would repeat all the patterns.
     checked = materialise(checked, "checked")
     attempts = checked.filter(known & (F.col("flag") == "")).select("request_id", "user_role", "ts")

@@ -462,11 +462,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         FROM audit LEFT JOIN (SELECT request_id, count(*) AS n_released, count(nric) AS n_nric,
           count(financial_info) AS n_financial, count(medical_info) AS n_medical, max(_similarity_score) AS best_score
           FROM released GROUP BY request_id) USING (request_id)"""),
-    "stream_guard": (["checked", "judged"], """SELECT c.request_id, j.clean AS clean_query,
-        CASE WHEN j.reason <> '' THEN 'INVALID_QUERY' WHEN c.rule IS NOT NULL THEN 'INJECTION' ELSE '' END AS flag,
-        CASE WHEN j.reason <> '' THEN j.reason WHEN c.rule IS NOT NULL
-          THEN 'Prompt injection detected — ' || """ + _RULE_NAME.replace("CASE rule", "CASE c.rule") + """ ELSE '' END AS block_reason,
-        c.role_error FROM checked c JOIN judged j USING (request_id)"""),
+    "stream_guard": (["checked"], "SELECT request_id, clean AS clean_query, flag, why AS block_reason, role_error FROM checked"),
     "stream_rate_limit": (["event_limited"], "SELECT request_id, user_role, blocked FROM event_limited"),
     "stream_lockout": (["event_decided"], "SELECT supervisor_id, request_id, ok, failed_after, locks, counted FROM event_decided"),
     "stream_escalation": (["event_decided", "contact"], """SELECT request_id, supervisor_id, send_to,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wardline import policy, schemas
 from wardline.operators import gate
-from wardline.operators.guard import content_guard, role_gate
+from wardline.operators.guard import gated_guard
 from wardline.operators.ratelimit import Limits, micros, rate_limit, ratelog
 from wardline.plans.governed import governed_retrieval
 from wardline.sources.tables import manager_contact
@@ -29,7 +29,7 @@ HIGH_WATER = "user_role string, high_us long"
 
 def stream_guard(requests: DataFrame) -> DataFrame:
     """Role gate, cleaning and injection scan of each arriving request."""
-    return content_guard(role_gate(requests))
+    return gated_guard(requests)
 
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
