@@ -105,6 +105,6 @@ def test_nothing_stored_approves_without_records(spark):
     assert (a["x"].decision, a["x"].records_returned, a["x"].hitl_triggered, a["x"].error) == ("APPROVED", 0, False, None)
 
 
-def test_values_are_read_for_approved_requests_only(outcome):
+def test_release_joins_on_keys(outcome):
     plan = plan_of(outcome[0].released)
-    assert "criminal_record" not in plan and "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

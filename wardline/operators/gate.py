@@ -70,17 +70,17 @@ def lockout(attempts: DataFrame, supervisors: DataFrame | None = None,
                     "remaining", "locks", "counted", "seq"))
 
 
-def supervisor_state(snapshot: DataFrame, decided: DataFrame) -> DataFrame:
+def supervisor_state(snapshot: DataFrame, decided: DataFrame, how: str = "left") -> DataFrame:
     """The supervisor table after the attempts, to be written over the old snapshot.
 
-    An untouched supervisor keeps its row.
+    An untouched supervisor keeps its row; how="full" adds ids the snapshot does not know.
     """
     last = decided.filter("counted").groupBy("supervisor_id").agg(
         F.max_by("failed_after", "seq").alias("new_failed"),
         F.max("locks").alias("now_locked"),
         F.max(F.when(F.col("locks"), F.col("request_id"))).alias("lock_request"))
     touched = F.col("now_locked").isNotNull()
-    return (snapshot.join(last, "supervisor_id", "left")
+    return (snapshot.join(last, "supervisor_id", how)
             .withColumn("failed_attempts", F.when(touched, F.col("new_failed"))
                         .otherwise(F.col("failed_attempts")).cast("long"))
             .withColumn("is_locked", F.when(touched, F.col("now_locked")).otherwise(F.col("is_locked")))

@@ -24,6 +24,7 @@ from wardline.operators.ratelimit import Limits, micros, rate_limit, ratelog
 from wardline.plans.governed import governed_retrieval
 from wardline.sources.tables import manager_contact
 
+COUNTERS = ["supervisor_id", "failed_attempts", "is_locked", "locked_by_session"]
 HIGH_WATER = "user_role string, high_us long"
 
 
@@ -105,8 +106,12 @@ def lockout_stream(pins: DataFrame, supervisors: DataFrame, managers: DataFrame,
         spark = batch.sparkSession
         before = supervisors if epoch == 0 else spark.read.schema(supervisors.schema).parquet(
             f"{root}/supervisors/epoch={epoch - 1}")
-        _epoch(gate.lockout(batch, before), root, "attempts", epoch)
+        # counters of every id ever tried, the table's own or not
+        counters = before.select(*COUNTERS) if epoch == 0 else spark.read.parquet(
+            f"{root}/counters/epoch={epoch - 1}")
+        _epoch(gate.lockout(batch, counters), root, "attempts", epoch)
         decided = spark.read.parquet(f"{root}/attempts/epoch={epoch}")
+        _epoch(gate.supervisor_state(counters, decided, "full"), root, "counters", epoch)
         _epoch(gate.supervisor_state(before, decided), root, "supervisors", epoch)
         about = [c for c in ("user_role", "query") if c in batch.columns]
         locks = (decided.filter("locks").withColumnRenamed("failed_after", "failed_attempts")
