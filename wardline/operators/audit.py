@@ -31,7 +31,7 @@ def decision(reached: Column) -> Column:
 def build(decided: DataFrame) -> DataFrame:
     """The 13 audit columns.
 
-    decided: one row per request with request_id, ts, user_role, query, clean_query, allowed_fields,
+    decided: one row per request with request_id, ts, user_role, clean_query, allowed_fields,
     role_error, flag, block_reason, has_vector, records_returned, top_score (NULL when nothing is
     stored), triggered, gate_decision, hitl_decision, supervisor_id. A gate rejection keeps the
     counts and rule that were set before it, and its decision is also its error.

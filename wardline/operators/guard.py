@@ -70,21 +70,24 @@ def rate_reason(role: str, count: str | int = policy.RATE_LIMIT):
                                  f"(limit: {policy.RATE_LIMIT})."))
 
 
-def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
-    """Every request with allowed_fields, role_error, clean_query, flag, block_reason, proceeds.
+def verdict(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
+    """(request_id, user_role, ts[, has_vector], flag, block_reason, allowed_fields, role_error,
+    proceeds), one row per request and no query text.
 
     Order: unknown role, then invalid query, then injection, then rate limit. Only requests that
     pass the first three reach the limiter, so attack traffic never uses up a role's allowance.
+    Texts are judged where they are read; only this narrow table is shuffled and written.
     """
-    checked = gated_guard(requests)
-    known = F.col("allowed_fields").isNotNull()
+    kept = [c for c in ("request_id", "user_role", "ts", "has_vector") if c in requests.columns]
     # Two branches read this, and a filter on `flag` pushed below it would repeat all the patterns.
-    checked = materialise(checked, "checked")
+    checked = materialise(
+        gated_guard(requests.select(*kept, "query")).select(*kept, "flag", "block_reason"), "checked")
+    known = policy.allowed_fields(F.col("user_role")).isNotNull()
     attempts = checked.filter(known & (F.col("flag") == "")).select("request_id", "user_role", "ts")
     limited = materialise(
         rate_limit(attempts, prior_log).filter("blocked").select("request_id", "blocked"), "blocked")
     over = F.coalesce(F.col("blocked"), F.lit(False))
-    return (checked.join(limited, "request_id", "left")
+    return (role_gate(checked.join(limited, "request_id", "left"))
             .withColumn("flag", F.when(over, "RATE_LIMITED").otherwise(F.col("flag")))
             .withColumn("block_reason", F.when(over, rate_reason("user_role"))
                         .otherwise(F.col("block_reason")))
@@ -92,6 +95,19 @@ def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
             .drop("blocked"))
 
 
+def audited_query(requests: DataFrame) -> DataFrame:
+    """(request_id, clean_query): the text that is searched and logged; raw for an unknown role."""
+    known = policy.allowed_fields(F.col("user_role")).isNotNull()
+    cleaned = sanitise(requests.select("request_id", "user_role", "query"))
+    return cleaned.select("request_id", F.when(known, F.col("clean_query"))
+                          .otherwise(F.col("query")).alias("clean_query"))
+
+
+def guard(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
+    """Every request's verdict beside its cleaned query: the whole guard result."""
+    return verdict(requests, prior_log).join(audited_query(requests), "request_id")
+
+
 def injection_detected(flag):
     """True for any guard block, a rate-limit block included."""
     return flag != ""

@@ -21,14 +21,17 @@ def running_marks(df: DataFrame, key: str, order: Sequence[str], mark: str,
     its rows spread over tasks; each piece is numbered on its own and the pieces' totals carry
     over. `order` must be unique within the key.
     """
+    # a table of fewer rows has no larger key; over files this count comes from the footers
+    if df.count() <= max_key_rows:
+        return _numbered(df, [key], order, mark)
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_key_rows)
-    hot = [r[0] for r in sizes.select(key).collect()]  # at most rows / max_key_rows keys
-    if not hot:
+    found = sizes.collect()  # at most rows / max_key_rows keys
+    if not found:
         return _numbered(df, [key], order, mark)
-    is_hot = F.col(key).isin(hot)
-    normal = _numbered(df.filter(~is_hot | F.col(key).isNull()), [key], order, mark)
-
-    spread = (df.filter(is_hot).repartitionByRange(key, *order)
+    hot = df.sparkSession.createDataFrame(found, sizes.schema).select(key)
+    pieces = 2 * -(-sum(r["_n"] for r in found) // max_key_rows)
+    normal = _numbered(df.join(hot, key, "left_anti"), [key], order, mark)
+    spread = (df.join(hot, key, "left_semi").repartitionByRange(pieces, key, *order)
               .withColumn("_piece", F.spark_partition_id()))
     # the piece number depends on sampled range bounds: fix it before two branches read it
     local = _numbered(materialise(spread, "pieces"), [key, "_piece"], order, mark)

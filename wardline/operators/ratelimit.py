@@ -104,8 +104,9 @@ def rate_limit(attempts: DataFrame, prior_log: DataFrame | None = None,
     small = F.col("run_rows") <= lim.max_run_rows
     out = out.unionByName(_verdict(_grouped(busy.filter(small), lim)))
     large = busy.filter(~small).select("user_role", "run", "us", "request_id", "seed")
-    if not buckets.filter(~small).isEmpty():
-        out = out.unionByName(_verdict(_in_rounds(large, lim)))
+    n_large = buckets.filter(~small & F.col("starts")).agg(F.sum("run_rows")).first()[0]
+    if n_large:
+        out = out.unionByName(_verdict(_in_rounds(large, lim, 2 * -(-n_large // lim.max_run_rows))))
     return out
 
 
@@ -143,7 +144,7 @@ STEP_SCHEMA = ("user_role string, run long, us long, request_id string, "
                "slots array<long>, frontier long, last_us long, last_id string")
 
 
-def _in_rounds(large: DataFrame, lim: Limits) -> DataFrame:
+def _in_rounds(large: DataFrame, lim: Limits, pieces: int) -> DataFrame:
     spark = large.sparkSession
     limit, window_us, keep = lim.limit, lim.window_us, lim.keep
     span = window_us + 1  # a slot taken at s is free again from s + span on
@@ -151,7 +152,7 @@ def _in_rounds(large: DataFrame, lim: Limits) -> DataFrame:
 
     path = new_path(spark, "long-runs")
     (large.filter(~F.col("seed")).select("user_role", "run", "us", "request_id")
-     .repartitionByRange("user_role", "us", "request_id")
+     .repartitionByRange(pieces, "user_role", "us", "request_id")
      .sortWithinPartitions("user_role", "us", "request_id").write.parquet(path))
     rows = spark.read.parquet(path)
 

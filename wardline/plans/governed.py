@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline import policy
 from wardline.functions.vectors import round_score
 from wardline.operators import access, audit, gate, retrieval
-from wardline.operators.guard import guard
+from wardline.operators.guard import audited_query, verdict
 from wardline.operators.ratelimit import ratelog
 from wardline.session import materialise
 from wardline.sources.tables import manager_contact
@@ -33,11 +33,12 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
 
     Denied requests leave before the vector search. Until a request is approved only keys are
     matched; field values are read for approved requests alone, and a field that no role may see
-    is never read. Shared intermediate results are small (a row or k rows per request) and are
-    written once for the branches that read them.
+    is never read. Decisions are taken on narrow tables (a row or k rows per request, no text and
+    no vector), each written once for the branches that read it; the query text is read a
+    second time for the audit rows instead of travelling along.
     """
     bare = requests.withColumn("has_vector", F.col("query_vec").isNotNull()).drop("query_vec")
-    guarded = guard(bare, prior_log)
+    guarded = verdict(bare, prior_log)
     searching = requests.select("request_id", "query_vec").join(
         guarded.filter(F.col("proceeds") & F.col("has_vector")).select("request_id"),
         "request_id", "left_semi")
@@ -56,15 +57,16 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
     facts = materialise(facts, "facts")
     under_review = facts.filter("triggered").select("request_id", "user_role")
     decisions, tried = gate.gate(under_review, attempts, supervisors)
-    log = materialise(audit.build(facts.join(decisions, "request_id", "left")), "audit")
+    # the only place where query texts are shuffled
+    log = materialise(audit.build(
+        facts.join(decisions, "request_id", "left").join(audited_query(requests), "request_id")), "audit")
 
     approved = log.filter(F.col("decision") == audit.APPROVED).select("request_id", "user_role")
     released = access.project_mixed(
         retrieval.rank_records(matched.join(approved, "request_id")).join(employees, "nric"))
     locks = (tried.filter("locks")
              .select("request_id", "supervisor_id", "ts", F.col("failed_after").alias("failed_attempts"))
-             .join(facts.select("request_id", "user_role", F.col("clean_query").alias("query")),
-                   "request_id")
+             .join(log.select("request_id", "user_role", "query"), "request_id")
              .join(supervisors.select("supervisor_id", F.col("name").alias("supervisor_name")),
                    "supervisor_id"))
     return Outcome(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardline.session import pin_utc
 from wardline.sources.tables import hash_supervisors
@@ -13,8 +14,15 @@ DAY_ONE = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 VECTORS = 500  # every scale has at least these vector ids
 
 
+_footers: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A benchmark table; its footer is read for the schema only once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _footers:
+        _footers[path] = pin_utc(spark).read.parquet(path).schema
+    return pin_utc(spark).read.schema(_footers[path]).parquet(path)
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

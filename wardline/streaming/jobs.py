@@ -35,8 +35,15 @@ def stream_guard(requests: DataFrame) -> DataFrame:
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
         available_now: bool = True):
-    """Start a query that hands every micro-batch to `each`."""
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    """Start a query that hands every micro-batch to `each`, which may read it several times."""
+    def held(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            each(batch, epoch)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(held).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
