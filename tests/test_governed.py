@@ -23,7 +23,8 @@ def run(spark, reqs, tries=(), prior=None, **kw):
         "request_id", F.timestamp_seconds(F.col("s") + T0).alias("ts"), "user_role", "query", "query_vec")
     attempts = spark.createDataFrame(list(tries), "request_id string, supervisor_id string, attempt_no int, s long, pin string").select(
         "request_id", "supervisor_id", "attempt_no", F.timestamp_seconds(F.col("s") + T0).alias("ts"), "pin")
-    out = governed_retrieval(requests, people, kw.get("vecs", vecs), sup, man, attempts, prior)
+    out = governed_retrieval(requests, people, kw.get("vecs", vecs), sup, man, attempts, prior,
+                             typed=kw.get("typed", False))
     return out, {r.request_id: r for r in out.audit.collect()}
 
 
@@ -105,6 +106,12 @@ def test_nothing_stored_approves_without_records(spark):
     assert (a["x"].decision, a["x"].records_returned, a["x"].hitl_triggered, a["x"].error) == ("APPROVED", 0, False, None)
 
 
+def test_typed_requests(spark):
+    _, a = run(spark, [("x", 1, " General_Staff ", "  ", V), ("y", 2, "General_Staff", " who ", V)], typed=True)
+    assert a["x"].query == "Show me employee information" and a["y"].query == "who"
+    assert {a["x"].decision, a["y"].decision} == {"APPROVED"}
+
+
 def test_release_joins_on_keys(outcome):
     plan = plan_of(outcome[0].released)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -91,3 +91,11 @@ def test_lookups(spark, tmp_path):
     asked = spark.createDataFrame([("a", " sup002"), ("b", "SUP999"), ("c", " ")], "request_id string, supervisor_id string")
     got = {r.request_id: r.supervisor_name for r in tables.lookup_supervisor(asked, sup).collect()}
     assert got == {"a": "Bob Lim", "b": None, "c": None}
+
+
+def test_request_ids_are_assigned_once(spark):
+    got = tables.with_request_ids(spark.range(20).select(F.lit("HR_Admin").alias("user_role")))
+    first = sorted(r.request_id for r in got.collect())
+    assert len(set(first)) == 20 and first == sorted(r.request_id for r in got.collect())
+    kept = tables.with_request_ids(spark.createDataFrame([("a",), (None,)], "request_id string"))
+    assert "a" in {r.request_id for r in kept.collect()} and kept.filter("request_id IS NULL").count() == 0

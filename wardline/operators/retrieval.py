@@ -28,7 +28,7 @@ from wardline import policy
 from wardline.functions.vectors import round_score
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-BLOCK_BYTES = 128 * 1024 * 1024
+BLOCK_BYTES = 64 * 1024 * 1024
 COMPARE_DIGITS = 12
 SCORES_IN_FLIGHT = 4_000_000
 _SCORED = "request_id string, nric string, score double"
@@ -257,4 +257,4 @@ def rank_records(records: DataFrame) -> DataFrame:
     A request holds at most k records here, so its group is small.
     """
     order = Window.partitionBy("request_id").orderBy(F.desc("_similarity_score"), "nric")
-    return records.withColumn("record_no", F.row_number().over(order))
+    return records.withColumn("record_no", F.row_number().over(order).cast("long"))

@@ -42,7 +42,7 @@ def src_personnel(spark, d):
 @query
 def scan_embeddings(spark, d):
     return m.embeddings(spark, d).select(
-        "nric", F.size("embedding").alias("dims"),
+        "nric", F.size("embedding").cast("long").alias("dims"),
         vectors.round_score(vectors.norm(F.col("embedding"))).alias("norm"))
 
 
@@ -493,7 +493,7 @@ def audit_append(spark, d):
 
 @query
 def lookup_audit_entry(spark, d):
-    return _flat(t.lookup_audit_entry(_governed(spark, d).audit, "7-0"))
+    return _flat(t.lookup_audit_entry(_governed(spark, d).audit, "6-2"))
 
 
 @query

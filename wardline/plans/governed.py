@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import policy
+from wardline.functions import text
 from wardline.functions.vectors import round_score
 from wardline.operators import access, audit, gate, retrieval
 from wardline.operators.guard import audited_query, verdict
@@ -28,8 +29,10 @@ class Outcome:
 def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: DataFrame,
                        supervisors: DataFrame, managers: DataFrame, attempts: DataFrame,
                        prior_log: DataFrame | None = None, k: int = policy.TOP_K,
-                       where: Column | None = None, fallback_contact: str = "") -> Outcome:
-    """Decide every request.
+                       where: Column | None = None, fallback_contact: str = "",
+                       typed: bool = False) -> Outcome:
+    """Decide every request. typed: requests were typed in by hand, so roles are stripped and an
+    empty query becomes the stock question.
 
     Denied requests leave before the vector search. Until a request is approved only keys are
     matched; field values are read for approved requests alone, and a field that no role may see
@@ -37,6 +40,9 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
     no vector), each written once for the branches that read it; the query text is read a
     second time for the audit rows instead of travelling along.
     """
+    if typed:
+        requests = (requests.withColumn("user_role", text.strip(F.col("user_role")))
+                    .withColumn("query", text.default_query(F.col("query"))))
     bare = requests.withColumn("has_vector", F.col("query_vec").isNotNull()).drop("query_vec")
     guarded = verdict(bare, prior_log)
     searching = requests.select("request_id", "query_vec").join(

@@ -273,7 +273,7 @@ _machine("event_order", "event_machine")
 _view("event_decided", ["event_machine", "event_faced"], """SELECT supervisor_id, request_id, us, ok, failed_after, locks, counted
     FROM event_machine UNION ALL
     SELECT supervisor_id, request_id, us, ok, NULL, false, false FROM event_faced WHERE was_locked OR failed_attempts >= 3""")
-_view("bare_order", ["event_pins"], """SELECT *, 0 AS failed_attempts, row_number() OVER (
+_view("bare_order", ["event_pins"], """SELECT *, CAST(0 AS BIGINT) AS failed_attempts, row_number() OVER (
     PARTITION BY supervisor_id ORDER BY us, request_id) AS n FROM event_pins""")
 _machine("bare_order", "bare_machine")
 
@@ -449,7 +449,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "audit_build": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit"),
     "audit_append": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit"),
     "stream_audit": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit"),
-    "lookup_audit_entry": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit WHERE request_id = '7-0'"),
+    "lookup_audit_entry": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit WHERE request_id = '6-2'"),
     "audit_decision": (["audit"], """SELECT user_role, decision, hitl_decision, count(*) AS n
         FROM audit GROUP BY user_role, decision, hitl_decision"""),
     "audit_link": (["audit", "limited"], """SELECT request_id, decision, blocked, a.request_id IS NOT NULL AS in_audit,

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from wardline import schemas
 from wardline.functions import text
+from wardline.session import materialise
 
 # --- fixed values: seed rows of the second-person gate (supervisor, name, email, PIN, roles) ---
 SEED_SUPERVISORS = [
@@ -122,6 +123,14 @@ def full_refresh(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def with_request_ids(requests: DataFrame) -> DataFrame:
+    """Requests without an id get one, once: random ids must not change when a task runs again, so
+    the result is written before anyone reads it."""
+    named = requests if "request_id" in requests.columns else requests.withColumn(
+        "request_id", F.lit(None).cast("string"))
+    return materialise(named.withColumn("request_id", F.coalesce("request_id", F.uuid())), "requests")
+
+
 def append(df: DataFrame, path: str, schema: StructType) -> None:
     """Append rows of a declared schema; rows without their required key are refused."""
     fitting, _ = conform(df, schema)
