@@ -23,7 +23,8 @@ LOCKED = ("DENIED — Supervisor ", " account is locked")
 NOT_AUTHORISED = "DENIED — Supervisor not authorised for role "
 LOCKED_NOW = ("DENIED — Supervisor ", f" locked after {policy.MAX_FAILED_ATTEMPTS} failed attempts")
 UNVERIFIED = "DENIED — PIN verification failed"
-LOCKOUT_ERROR = "Supervisor lockout — escalation sent to manager"
+ALERT_SUBJECT = ("[ALERT] Supervisor Lockout — Request ", "...")  # around the id's first 8 characters
+ALERT_TIME = "yyyy-MM-dd HH:mm:ss 'UTC'"
 # --- end of fixed values ---
 
 ORDER = ["us", "request_id", "attempt_no"]
@@ -179,7 +180,7 @@ def escalations(lock_events: DataFrame, contact: DataFrame) -> DataFrame:
         return [F.lit(f"{label:<17}: "), value if isinstance(value, Column) else F.col(value), F.lit("\n")]
 
     failed = F.col("failed_attempts").cast("string")
-    sent = F.date_format("ts", "yyyy-MM-dd HH:mm:ss 'UTC'")
+    sent = F.date_format("ts", ALERT_TIME)
     body = F.concat(
         F.lit("SUPERVISOR LOCKOUT ALERT\n\nA supervisor account has been locked after "), failed,
         F.lit(" failed PIN attempts.\n\nREQUEST DETAILS\n"),
@@ -193,6 +194,6 @@ def escalations(lock_events: DataFrame, contact: DataFrame) -> DataFrame:
     return lock_events.select(
         "request_id", "supervisor_id", "ts",
         contact.select("email").scalar().alias("send_to"),
-        F.concat(F.lit("[ALERT] Supervisor Lockout — Request "), F.substring("request_id", 1, 8),
-                 F.lit("...")).alias("subject"),
+        F.concat(F.lit(ALERT_SUBJECT[0]), F.substring("request_id", 1, 8), F.lit(ALERT_SUBJECT[1]))
+        .alias("subject"),
         body.alias("body"))
