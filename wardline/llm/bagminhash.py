@@ -7,12 +7,12 @@ least time of its points at positions below w. Points come in ascending time, so
 it passes the largest value that any component still has. Two texts agree in a component with a
 probability equal to their weighted Jaccard similarity.
 
-Classes. Equal texts are one node. Nodes that agree in a band of ROWS components are candidates; they are
-verified on the texts: sum of minima over sum of maxima of the shingle counts, at least `threshold`. Within a
-band bucket the node of least number is compared with all others first. Buckets whose members then lie in
-different components go on with their next members (in blocks that grow eightfold) against members of other
-components until none is left, so members of one class are never paired with each other, and no
-pair of different classes in a bucket stays untested.
+Classes. Equal texts are one node. Nodes that agree in a band of ROWS components share a bucket; pairs are
+verified on the texts: sum of minima over sum of maxima of the shingle counts, at least `threshold`. Each
+bucket's best connected member is verified against all others first, which joins most copies of one text.
+Buckets whose members then still lie in different components are compared in blocks of bounded size: a task
+holds two blocks' longer sketches, and pairs of different components whose sketches come within five
+standard deviations of the threshold are verified too. Pairs within a component are never listed.
 
 Result: one row per document row: doc_id, class_id (least doc_id of the class), class_size (rows), copies
 (rows with the same text). Null texts read as empty. Texts without words are alike only if equal. A null
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import bounded_batches, mix, pieces, shingle_counts, texts
@@ -36,6 +36,8 @@ from wardline.session import materialise
 BANDS = 32
 ROWS = 5
 THRESHOLD = 0.8
+SKETCH = 640
+BLOCK = 2000
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -120,15 +122,18 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.length("keys") > 0).select("node", "keys").mapInArrow(run, "key long, node long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are as alike as asked."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the given nodes."""
     wanted = involved.join(nodes, "node").select("node", "digest", "first_id")
     found = (docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
              .join(wanted, "digest").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
              .select("node", "text"))
     # Repeated rows of a document give its text more than once.
-    found = materialise(found.groupBy("node").agg(F.first("text").alias("text")), "texts", "zstd")
+    return materialise(found.groupBy("node").agg(F.first("text").alias("text")), "texts", "zstd")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts are as alike as asked."""
     both = (pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
@@ -146,6 +151,74 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     return both.mapInArrow(run, "a long, b long")
 
 
+def _sketches(found: DataFrame) -> DataFrame:
+    """node, one byte of each of SKETCH components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1 << 20):
+            low = mix(signatures(texts(b.column(1)), SKETCH).view(np.uint64)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "sketch"])
+
+    return found.mapInArrow(run, "node long, sketch binary")
+
+
+def _close_pairs(split: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket whose sketches allow the threshold.
+
+    split: key, node, comp, n (members of the bucket). A pair is given in the first band only that it shares.
+    """
+    members = split.select("node").distinct()
+    facts = materialise(_sketches(found.join(members, "node", "left_semi").select("node", "text"))
+                        .join(nodes.select("node", "keys"), "node"), "sketches")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = (split.select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+            .select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "comp")
+            .join(facts, "node").select("key", "i", "j", "own", "node", "comp", "keys", "sketch"))
+    # A byte agrees by chance once in 256; five standard deviations of the share at the threshold.
+    least = threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+    def pairs_of(group: list) -> tuple[np.ndarray, np.ndarray]:
+        key, i, j = group[0][:3]
+        own = np.array([r[3] for r in group])
+        node, comp = np.array([r[4] for r in group]), np.array([r[5] for r in group])
+        keys = np.frombuffer(b"".join(r[6] for r in group), "<i8").reshape(len(group), -1)
+        sketch = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(len(group), -1)
+        first, second = [], []
+        for x in range(len(group) - 1):
+            y = x + 1 + np.flatnonzero(comp[x + 1:] != comp[x])
+            y = y[(own[y] != own[x]) if i != j else slice(None)]
+            if len(y):
+                y = y[(sketch[y] == sketch[x]).mean(1) >= least]
+            if len(y):
+                y = y[keys[y, (keys[y] == keys[x]).argmax(1)] == key]
+                first.append(np.full(len(y), node[x]))
+                second.append(node[y])
+        none = np.zeros(0, np.int64)
+        return np.concatenate(first or [none]), np.concatenate(second or [none])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list = []
+        for b in pieces(batches, 4 << 20):
+            first, second = [], []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if group and group[0][:3] != r[:3]:
+                    a, z = pairs_of(group)
+                    first.append(a)
+                    second.append(z)
+                    group = []
+                group.append(r)
+            if first:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(group)], ["a", "b"])
+
+    return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+            .mapInArrow(run, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, copies: one row per row of docs."""
     spark = docs.sparkSession
@@ -157,34 +230,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                                             F.max("keys").alias("keys"))
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     buckets = _bands(nodes)
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(buckets.join(leaders, "key").select("key", "node", "a"), "buckets")
-    pairs = materialise(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = materialise(_verified(pairs, nodes, docs, threshold), "links")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialise(buckets.join(shared, "key"), "buckets")
+    known = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = shared.join(known, "node").groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("best"))
+    pairs = (shared.join(leaders, "key").select((-F.col("best.node")).alias("a"), F.col("node").alias("b"))
+             .filter("a <> b").distinct())
+    pairs = materialise(pairs, "pairs")
+    found = _texts(known.select("node"), nodes, docs)
+    links = materialise(_verified(pairs, found, threshold), "links")
     comps = components(links)
 
-    first, last = 1, 8
-    while True:
-        placed = (shared.join(comps, "node", "left")
-                  .select("key", "node", F.coalesce("comp", "node").alias("comp")))
-        split = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-                 .filter("low <> high").select("key"))
-        by_node = Window.partitionBy("key").orderBy("node")
-        split = materialise(placed.join(split, "key").withColumn("rank", F.row_number().over(by_node)), "split")
-        # Members of rank up to `first` have met all others of their bucket.
-        ahead = split.filter((F.col("rank") > first) & (F.col("rank") <= last)).select(
-            "key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("rank").alias("rank_a"))
-        more = materialise(
-            split.join(ahead, "key").filter((F.col("rank") > F.col("rank_a")) & (F.col("comp") != F.col("comp_a")))
-            .select("a", F.col("node").alias("b")).distinct(), "pairs")
-        if not more.isEmpty():
-            found = materialise(_verified(more, nodes, docs, threshold), "links")
-            if not found.isEmpty():
-                links = materialise(links.union(found), "links")
-                comps = components(links)
-        if split.filter(F.col("rank") > last + 1).isEmpty():
-            break
-        first, last = last, last * 8
+    placed = (shared.join(comps, "node", "left")
+              .select("key", "n", "node", F.coalesce("comp", "node").alias("comp")))
+    split = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+             .filter("low <> high").select("key"))
+    split = materialise(placed.join(split, "key"), "split")
+    more = materialise(_close_pairs(split, nodes, found, threshold), "pairs")
+    more = materialise(_verified(more, found, threshold), "links")
+    if not more.isEmpty():
+        comps = components(links.union(more))
 
     classes = materialise(
         nodes.select("node", "digest", "first_id", "copies").join(comps, "node", "left")
