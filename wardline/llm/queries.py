@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bagminhash, bytebpe, chat, fingerprints, huffman, packing
+from wardline.llm import bagminhash, bytebpe, chat, fingerprints, huffman, packing, toxicity
 from wardline.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_verdict(toxicity.score_documents(docs, model))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ REGISTRY = {
     "op3_chat_format": op3_chat_format,
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
 }
