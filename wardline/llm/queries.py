@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bagminhash, bytebpe, chat, fingerprints, huffman, packing, toxicity
+from wardline.llm import (
+    bagminhash, bytebpe, chat, fingerprints, huffman, licenses, packing, quality, secrets, toxicity,
+)
 from wardline.llm.common import table
 
 
@@ -14,6 +16,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.scan(docs, secrets.train(secrets.labelled_samples(docs))))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return huffman.with_crc(huffman.huffman_round_trip(docs, tokenizer_path("word_bpe_49k.json")))
@@ -27,6 +34,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.with_crc(packing.pack(docs, tokenizer_path("word_bpe_49k.json")))
@@ -39,6 +50,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("chars_distance", "words_distance")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
@@ -54,12 +69,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_secrets": op1_secrets,
     "op2_token_file": op2_token_file,
     "op3_chat_format": op3_chat_format,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}
