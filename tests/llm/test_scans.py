@@ -1,0 +1,147 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm.conftest import texts_of
+from wardline.llm import chat, licenses, quality, secrets, toxicity
+
+ASSIGN = re.compile("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+                    + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+SECRETS = ["token=secret=abcdefghijk password:tokensecret é🙂 API_KEY='x1y2z3w4' apikey : ab",
+           "AKIAABCDEFGHIJKL AKIA12 " + "a" * 40 + "g" + "0" * 31 + ' TOKEN="abc.def/gh+"',
+           "key RXx2nznYZEGZwOW9vPvIWzfOkcveH8Gw6mtE8W3X and get_user_name_by_identifier_value"]
+
+
+def base(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_secrets(spark, docs, odd, none):
+    extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
+    whole = docs.select("doc_id", "text").union(extra)
+    table = secrets.train(secrets.labelled_samples(whole))
+    for df in (whole, odd, none):
+        given_ = Counter()
+        for doc_id, text in texts_of(df):
+            found = base(text)
+            shown = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in found)
+            kinds = Counter(k for _, k, _ in found)
+            given_[doc_id, kinds[0], kinds[1], kinds[2], hashlib.sha256(shown.encode()).hexdigest()] += 1
+        got = secrets.digests(secrets.scan(df, table)).collect()
+        assert Counter(tuple(r)[:5] for r in got) == given_
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan(extra, table)).collect()}
+    assert spans[1002] == "markov:4:44"
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(extra, table)).collect()}
+    assert masked[1002] == "key [SECRET] and get_user_name_by_identifier_value"
+    assert masked[1000] == "[SECRET] [SECRET] é🙂 [SECRET]' apikey : ab"
+    assert secrets.train(secrets.labelled_samples(none)) == []
+
+
+def test_licences_equal_sql(docs, odd, none):
+    con = duckdb.connect()
+    for df in (docs, odd, none):
+        con.register("documents", df.select("doc_id", "text").toPandas())
+        got = Counter(tuple(r) for r in licenses.scan_documents(df).collect())
+        assert got == Counter(con.execute(licenses.oracle_sql()).fetchall())
+        con.unregister("documents")
+
+
+def test_licence_probes_lose_nothing():
+    matcher = licenses.Matcher(licenses.TEMPLATES, 0.8)
+    for name, body in licenses.TEMPLATES.items():
+        words = body.split()
+        assert matcher.scan(body)[1].split(",").count(name) == 1
+        for at in range(len(words)):
+            text = " ".join(words[:at] + words[at + 1:])
+            plain = bool([1 for n, p in matcher.known if n == name and 2 * len(licenses.bigrams(text) & p) >= 0.8 * (len(licenses.bigrams(text)) + len(p))])
+            assert (name in matcher.scan(text)[1].split(",")) == plain
+
+
+def facts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    n, covered = Counter(grams), set()
+    for i, g in enumerate(grams):
+        covered |= {i, i + 1, i + 2} if n[g] > 1 else set()
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
+            len(words) < 50 or 100 * len(covered) > 50 * len(words))
+
+
+def test_quality(docs, odd, none):
+    for df in (docs, odd, none):
+        got = quality.judge(df).collect()
+        assert Counter((r["doc_id"], *tuple(r)[1:7]) for r in got) == Counter((d, *facts(t)) for d, t in texts_of(df))
+        assert not any(r["kept"] and r["base_failed"] for r in got)
+
+
+def test_quality_keeps_clean_and_drops_junk(spark, small):
+    path = small.replace("sf0.001", "sf0.01")
+    judged = quality.judge(spark.read.parquet(f"{path}/documents.parquet"))
+    rows = judged.join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.2
+
+
+def test_toxicity(spark, small, odd, none):
+    path = small.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train_on(docs, labels)
+    got = toxicity.with_verdict(toxicity.score_documents(docs.join(labels, "doc_id", "left_semi"), model)).join(labels, "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.93
+    assert sum(r["predicted"] for r in held if not r["toxic"]) / sum(not r["toxic"] for r in held) < 0.03
+    scored = toxicity.with_verdict(toxicity.score_documents(odd, model)).collect()
+    assert len(scored) == odd.count() and all(0 <= r["score"] <= 1 for r in scored)
+    assert toxicity.score_documents(none, model).count() == 0
+    assert toxicity.train_on(none, labels.limit(0)).weights == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<|\\>im_end\n an", max_size=40))
+def test_escapes_can_be_undone(text):
+    assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+    assert chat.unlabel(chat.label(text)) == text and "\n" not in chat.label(text)
+
+
+def test_chat(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    given_ = [(1, 0, "user", said), (1, 1, "assistant", said), (2, 1, "assistant", None), (2, 0, None, "a<\\|b"), (None, 0, "x\ny", "z"),
+              (3, 0, "user", "same"), (3, 0, "user", "same"), (4, None, "assistant", "long " * 9000)]
+    df = spark.createDataFrame(given_, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS messages", "'q' AS loss")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    convs = {}
+    for c, turn, role, text in given_:
+        convs.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        turns = sorted(turns)
+        learnt = "".join(t for *_, r, t in turns if r == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()).hexdigest()
+        assert (got[c]["n_turns"], got[c]["loss_chars"]) == (len(turns), len(learnt))
+        assert got[c]["loss_sha256"] == hashlib.sha256(learnt.encode()).hexdigest()
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_templates():
+    text = "{% if 1 == 1 %}a{{ 'b' + \"c\" }}{% elif x %}q{% else %}z{% endif %}{% set y = x | upper %}" \
+           "{% for m in l %}{% if loop.first %}[{% endif %}{{ m }}{% if not loop.last %},{% else %}]{% endif %}{% endfor %}{{ y }}"
+    assert chat.compile_template(text)(l=["1", "2"], x="t") == ("abc[1,2]T", [])
+    assert [n.kind for n in chat.fold(chat.parse("a{{ 'b' }}{% if 1 == 2 %}x{% endif %}c"))] == ["text"]
+    assert chat.compile_template("x{% generation %}yz{% endgeneration %}")() == ("xyz", [(1, 3)])
+    for bad in ("{% for %}", "{% if x %}", "{{ x | eval }}", "{{ f(1) }}", "{% endfor %}", "{{ 'a }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+    for escape in ("{{ x.__class__ }}", "{{ x['y'].z }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(escape)(x="s")
