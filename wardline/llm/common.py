@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def worker_memo(name: str, make: Callable):
     """One object per Python worker and name. Workers outlive tasks, so a memo spares later tasks the
     same work; it never changes a result. It hangs on a module of its own because functions sent by
-    value start with fresh globals."""
+    value start with fresh globals. A worker holds the last one asked for, so memos don't add up."""
     home = sys.modules.setdefault("_wardline_worker", types.ModuleType("_wardline_worker"))
     if not hasattr(home, name):
+        for other in [n for n in vars(home) if not n.startswith("__")]:
+            delattr(home, other)
         setattr(home, name, make())
     return getattr(home, name)
 
@@ -62,12 +64,12 @@ def texts(column: pa.Array) -> list[str]:
 
 
 class WordHashes(dict):
-    """Word to a 64-bit hash, memoised; emptied when it holds a million words."""
+    """Word to a 64-bit hash, memoised; emptied when it holds 400,000 words."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value

@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import pieces, worker_memo
 
-SAMPLE_ROWS = {1: 2000, 0: 3000}
-SAMPLE_BYTES = 24 << 20
+SAMPLE_ROWS = {1: 1500, 0: 2500}
+SAMPLE_BYTES = 12 << 20
 TOP = 3
 SPAN = 24
 GRAM = 6
 CONTRAST = 1.5  # least difference of the log shares of rows
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 4096, 32768, 19
-MEMO_WINDOWS = 700_000
+MEMO_WINDOWS = 400_000
 _HEAD, _TAIL = "<window begins> ", " <the window ends>"
 _OUTER = " .,!?;:|*$%&#\"'()[]{}<>«»„“”¡¿-_=+/\\"
 
@@ -171,18 +171,14 @@ def train(samples: list[tuple[str, int]], shares: dict[int, float] | None = None
         fit = learn
     words = [(Counter(w for chunk in text.split() for w in windows(chunk)), y) for text, y in learn]
     rows, found = Counter(y for _, y in words), {0: Counter(), 1: Counter()}
-    grams: dict[str, set[str]] = {}
     for bag, y in words:
-        for w in bag:
-            if w not in grams:
-                grams[w] = _grams(w)
-        found[y].update(set().union(*(grams[w] for w in bag)))
+        found[y].update(set().union(*map(_grams, bag)))
 
     def contrast(g: str) -> float:
         return math.log((found[1][g] + 0.5) / (rows[1] + 1)) - math.log((found[0][g] + 0.5) / (rows[0] + 1))
 
     telling = {g for g, k in found[1].items() if k >= min(5, max(2, rows[1] // 4)) and contrast(g) > CONTRAST}
-    toxic = [_framed(w) for bag, y in words if y == 1 for w, k in bag.items() if not telling or grams[w] & telling
+    toxic = [_framed(w) for bag, y in words if y == 1 for w, k in bag.items() if not telling or _grams(w) & telling
              for _ in range(k)]
     ordinary = [_framed(w) for bag, y in words if y == 0 for w, k in bag.items() for _ in range(k)][:600_000]
     model = Model(_dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), [], prior)

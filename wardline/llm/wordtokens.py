@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from wardline.llm.common import worker_memo
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
 # The tokenizer's own word pattern (fixed value).
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
