@@ -150,3 +150,16 @@ def test_strict_two_person_check(spark):
     row = spark.range(1).select(gate.requester_is_approver(F.lit(" sup001"), F.lit("SUP001")).alias("x"),
                                 gate.requester_is_approver(F.lit(None).cast("string"), F.lit("SUP001")).alias("y")).first()
     assert (row.x, row.y) == (True, False)
+
+
+def test_a_request_has_no_more_tries_than_at_its_first(spark):
+    """Another request's success in between clears the counter but gives no further try."""
+    rows = [("a", "SUP001", 1, 1, "bad"), ("a", "SUP001", 2, 2, "bad"), ("b", "SUP001", 1, 3, "1234"),
+            ("a", "SUP001", 3, 4, "bad"), ("a", "SUP001", 4, 5, "1234")]
+    got, state, _ = decide(spark, {"a": "HR_Admin", "b": "HR_Admin"}, rows, snapshot(spark))
+    assert got["a"].gate_decision == "DENIED — PIN verification failed" and got["b"].gate_decision == "APPROVED"
+    assert state["SUP001"].failed_attempts == 1
+    # With one miss before, two tries are left: the third never happens.
+    rows = [("a", "SUP001", 1, 1, "bad"), ("b", "SUP001", 1, 2, "1234"), ("a", "SUP001", 2, 3, "bad"), ("a", "SUP001", 3, 4, "1234")]
+    got, _, _ = decide(spark, {"a": "HR_Admin", "b": "HR_Admin"}, rows, snapshot(spark, SUP001={"failed_attempts": 1}))
+    assert got["a"].gate_decision == "DENIED — PIN verification failed" and got["b"].gate_decision == "APPROVED"

@@ -99,3 +99,17 @@ def test_request_ids_are_assigned_once(spark):
     assert len(set(first)) == 20 and first == sorted(r.request_id for r in got.collect())
     kept = tables.with_request_ids(spark.createDataFrame([("a",), (None,)], "request_id string"))
     assert "a" in {r.request_id for r in kept.collect()} and kept.filter("request_id IS NULL").count() == 0
+
+
+def test_append_keeps_refused_rows(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01', 'HR_Admin', 'a', false), (NULL, 'HR_Admin', 'b', false) AS t(timestamp, user_role, request_id, blocked)")
+    assert tables.append(df, path, schemas.RATE_LIMIT_LOG) == 1
+    assert [r.request_id for r in spark.read.parquet(path).collect()] == ["a"]
+    assert [r.request_id for r in spark.read.parquet(f"{path}-refused").collect()] == ["b"]
+
+
+def test_quoted_cells_of_a_sheet(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('NRIC,Name,Financial_Info\nS1,"Ann ""A"", B","line one\nline two"\n')
+    rows = tables.read_personnel(spark, str(tmp_path / "s.csv")).collect()
+    assert [tuple(r) for r in rows] == [("S1", 'Ann "A", B', "line one\nline two")]

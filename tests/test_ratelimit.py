@@ -124,3 +124,11 @@ def test_long_runs_start_their_group_limit_before_the_shuffle(spark):
     first = Window.partitionBy("user_role", "interval").orderBy("ts", "request_id")
     plan = plan_of(df.withColumn("n", F.row_number().over(first)).filter("n <= 5"))
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_attempts_without_time_or_role_are_blocked_and_kept(spark):
+    df = spark.createDataFrame([(f"n{i}", "HR_Admin" if i % 2 else None, None) for i in range(30)],
+                               "request_id string, user_role string, ts timestamp")
+    got = ratelimit.rate_limit(df).collect()
+    assert len(got) == 30 and all(r.blocked for r in got)
+    assert sorted(r.n_trailing is None for r in ratelimit.attempts_trailing(df).collect()) == [True] * 30

@@ -7,7 +7,7 @@ PIN are ignored. A lock is final until the supervisor table is re-seeded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import policy
@@ -139,8 +139,7 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
     tried = (tried.join(first_ok, "request_id", "left")
              .filter(F.col("ok_no").isNull() | (F.col("attempt_no") <= F.col("ok_no"))).drop("ok_no"))
     # read by the outcomes, the locks, the alerts and the new supervisor table
-    decided = materialise(lockout(materialise(tried, "tried"), supervisors, max_key_rows=max_key_rows),
-                          "decided")
+    decided = _within_tries(materialise(tried, "tried"), supervisors, max_key_rows)
 
     outcome = decided.filter("counted").groupBy("request_id").agg(
         F.max("ok").alias("pin_ok"), F.max("locks").alias("locked_now"))
@@ -171,6 +170,34 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
     return decisions, decided
 
 
+def _within_tries(tried: DataFrame, supervisors: DataFrame, max_key_rows: int) -> DataFrame:
+    """Decided attempts, each request held to its number of tries.
+
+    A request may try as often as its supervisor's counter leaves when it first tries; a success of
+    another request in between does not give it more. Later tries never happen, which moves the counters
+    after them, so passes repeat until none changes. Each pass settles at least the earliest open
+    request of every supervisor; without interleaved requests the first pass stands.
+    """
+    by_request = Window.partitionBy("request_id").orderBy("attempt_no", "ts")
+    numbered = materialise(tried.withColumn("no", F.row_number().over(by_request)), "numbered")
+    kept = numbered.filter(F.col("no") <= policy.MAX_FAILED_ATTEMPTS)
+    while True:
+        place = kept.select("request_id", "attempt_no", "ts", "no")
+        decided = materialise(
+            lockout(kept.drop("no"), supervisors, max_key_rows=max_key_rows)
+            .join(place, ["request_id", "attempt_no", "ts"]), "decided")
+        # The counter before a first wrong try is one less than after it.
+        allowed = decided.filter((F.col("no") == 1) & F.col("counted") & ~F.col("ok")).select(
+            "request_id", (policy.MAX_FAILED_ATTEMPTS + 1 - F.col("failed_after")).alias("tries"))
+        again = materialise(
+            numbered.join(allowed, "request_id", "left")
+            .filter(F.col("no") <= F.coalesce("tries", F.lit(policy.MAX_FAILED_ATTEMPTS))).drop("tries"), "kept")
+        was, now = place.select("request_id", "no"), again.select("request_id", "no")
+        if was.exceptAll(now).isEmpty() and now.exceptAll(was).isEmpty():
+            return decided.drop("no")
+        kept = again
+
+
 def escalations(lock_events: DataFrame, contact: DataFrame) -> DataFrame:
     """Outbox rows, one per lockout, addressed to the manager's contact (a one-row table).
 

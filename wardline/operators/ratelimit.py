@@ -80,8 +80,13 @@ def rate_limit(attempts: DataFrame, prior_log: DataFrame | None = None,
     """(request_id, user_role, ts, blocked), one row per attempt.
 
     attempts: request_id (unique), user_role, ts. prior_log: rate_limit_log rows of earlier batches.
+    An attempt without a time or a role cannot be placed in any window, so it is blocked.
     """
     lim = limits or Limits()
+    placed = F.col("ts").isNotNull() & F.col("user_role").isNotNull()
+    unplaced = attempts.filter(~placed).select(
+        "request_id", "user_role", micros().alias("us"), F.lit(True).alias("blocked"))
+    attempts = attempts.filter(placed)
     rows = attempts.select("user_role", micros().alias("us"), "request_id", F.lit(False).alias("seed"))
     if prior_log is not None:
         rows = rows.unionByName(
@@ -100,7 +105,8 @@ def rate_limit(attempts: DataFrame, prior_log: DataFrame | None = None,
     history = rows.join(fronts, ["user_role", "bucket"]).withColumn("seed", F.lit(True))
     busy = busy.unionByName(history)
 
-    out = _verdict(calm.select("request_id", "user_role", "us", F.lit(False).alias("blocked")))
+    out = _verdict(calm.select("request_id", "user_role", "us", F.lit(False).alias("blocked"))
+                   .unionByName(unplaced))
     small = F.col("run_rows") <= lim.max_run_rows
     out = out.unionByName(_verdict(_grouped(busy.filter(small), lim)))
     large = busy.filter(~small).select("user_role", "run", "us", "request_id", "seed")
@@ -254,7 +260,7 @@ def attempts_trailing(attempts: DataFrame, window_us: int = policy.RATE_WINDOW_U
     """
     second = 1_000_000
     keyed = attempts.withColumn("us", micros())
-    times = (keyed.groupBy("user_role", "us").agg(F.count(F.lit(1)).alias("n"))
+    times = (keyed.filter(F.col("us").isNotNull() & F.col("user_role").isNotNull()).groupBy("user_role", "us").agg(F.count(F.lit(1)).alias("n"))
              .withColumn("bucket", F.floor(F.col("us") / window_us)))
     # each time appears as a point in its own bucket and as a probe in the one before
     points = times.select(
@@ -283,7 +289,7 @@ def attempts_trailing(attempts: DataFrame, window_us: int = policy.RATE_WINDOW_U
     per_time = counted.groupBy("user_role", "us").agg(F.sum(
         F.when(F.col("kind") == 1, F.col("up_to"))
         .otherwise(F.col("bucket_n") - F.col("up_to"))).alias("n_all"))
-    return (keyed.join(per_time, ["user_role", "us"])
+    return (keyed.join(per_time, ["user_role", "us"], "left")
             .withColumn("n_trailing", F.col("n_all") - 1).drop("us", "n_all"))
 
 

@@ -25,10 +25,13 @@ def read_personnel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     """The personnel sheet, all cells as text. A missing file fails the read.
 
     CSV goes by header name, so absent columns stay absent and are reported as such downstream;
-    columnar formats keep their own columns, cast to text.
+    a quoted cell may hold commas, line breaks and doubled quotes, and a row with another number of
+    cells fails the read instead of shifting values into other columns. Columnar formats keep
+    their own columns, cast to text.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+        df = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
+              .option("escape", '"').option("mode", "FAILFAST").csv(path))
     else:
         df = spark.read.format(fmt).load(path)
     return df.select(*[F.col(c).cast("string") for c in df.columns])
@@ -131,10 +134,19 @@ def with_request_ids(requests: DataFrame) -> DataFrame:
     return materialise(named.withColumn("request_id", F.coalesce("request_id", F.uuid())), "requests")
 
 
-def append(df: DataFrame, path: str, schema: StructType) -> None:
-    """Append rows of a declared schema; rows without their required key are refused."""
-    fitting, _ = conform(df, schema)
+def append(df: DataFrame, path: str, schema: StructType) -> int:
+    """Append rows of a declared schema; returns how many were refused.
+
+    Rows without a required value don't fit the table. None is lost: they go to the table beside it,
+    `<path>-refused`, with the columns of the schema.
+    """
+    typed = materialise(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), "appended")
+    fitting, refused = conform(typed, schema)
     fitting.write.mode("append").parquet(path)
+    n = refused.count()
+    if n:
+        refused.write.mode("append").parquet(f"{path}-refused")
+    return n
 
 
 def hash_supervisors(raw: DataFrame) -> DataFrame:
