@@ -85,8 +85,8 @@ def test_outbox_state_and_ratelog(outcome):
     out, _ = outcome
     mail = out.escalations.collect()
     assert [(m.request_id, m.supervisor_id, m.send_to) for m in mail] == [("health", "SUP001", "boss@example.com")]
-    assert mail[0].subject == "[ALERT] Supervisor Lockout — Request health..."
-    assert "3 of 3" in mail[0].body and "Alice Tan" in mail[0].body and '"medical notes"' in mail[0].body
+    assert mail[0].subject == "Supervisor account locked (request health)"
+    assert "3 of 3" in mail[0].body and "Ilse Varga" in mail[0].body and '"medical notes"' in mail[0].body
     assert "2024-01-01 00:00:13 UTC" in mail[0].body
     state = {r.supervisor_id: r for r in out.supervisors.collect()}
     assert state["SUP001"].is_locked and state["SUP001"].locked_by_session == "health" and not state["SUP003"].is_locked

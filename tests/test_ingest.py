@@ -90,7 +90,7 @@ def test_lookups(spark, tmp_path):
     sup = tables.seed_dims(spark)[0]
     asked = spark.createDataFrame([("a", " sup002"), ("b", "SUP999"), ("c", " ")], "request_id string, supervisor_id string")
     got = {r.request_id: r.supervisor_name for r in tables.lookup_supervisor(asked, sup).collect()}
-    assert got == {"a": "Bob Lim", "b": None, "c": None}
+    assert got == {"a": "Tomas Okoro", "b": None, "c": None}
 
 
 def test_request_ids_are_assigned_once(spark):

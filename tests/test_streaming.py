@@ -72,7 +72,9 @@ def test_lockout_replay_equals_batch(spark, small, tmp_path):
 
     batch = gate.lockout(pins, sup)
     assert rows(spark.read.parquet(f"{root}/attempts")) == rows(batch)
-    assert spark.read.parquet(f"{root}/outbox").count() == batch.filter("locks").count() > 0
+    alerts = spark.read.parquet(f"{root}/outbox")
+    assert alerts.count() == batch.filter("locks").join(sup, "supervisor_id", "left_semi").count() > 0
+    assert alerts.filter("body IS NULL").isEmpty()
     state = ["supervisor_id", "is_locked", "failed_attempts", "locked_by_session"]
     assert sorted(map(tuple, spark.read.parquet(f"{root}/supervisors/epoch=3").select(*state).collect())) == sorted(
         map(tuple, gate.supervisor_state(sup, batch).select(*state).collect()))
@@ -88,6 +90,26 @@ def test_audit_replay_equals_batch(spark, small, tmp_path):
     jobs.audit_stream(stream_of(spark, path, live.schema), *world, root).awaitTermination()
     got = spark.read.parquet(f"{root}/audit").drop("epoch")
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.audit.collect()))
+    columns = batch.released.columns
+    assert sorted(map(str, spark.read.parquet(f"{root}/released").select(columns).collect())) == sorted(
+        map(str, batch.released.collect()))
+    assert spark.read.parquet(f"{root}/ratelog").count() == batch.ratelog.count()
+
+
+def test_late_requests_are_refused_with_an_audit_row(spark, small, tmp_path):
+    live = m.requests(spark, small).drop("conv_id", "turn")
+    path = in_files(live, F.desc("ts"), str(tmp_path), 2)
+    root = str(tmp_path / "out")
+    jobs.audit_stream(stream_of(spark, path, live.schema), m.employees(spark, small), m.embeddings(spark, small),
+                      m.supervisors(spark, small), m.managers(spark, small), m.pin_attempts(spark, small),
+                      root).awaitTermination()
+    log = spark.read.parquet(f"{root}/audit")
+    assert sorted(r.request_id for r in log.collect()) == sorted(r.request_id for r in live.collect())
+    late = spark.read.parquet(f"{root}/late").select("request_id")
+    refused = log.join(late, "request_id")
+    assert refused.count() == late.count() > 0 and refused.filter("decision = 'APPROVED'").isEmpty()
+    assert refused.filter("injection_flag = 'LATE'").count() > 0
+    assert spark.read.parquet(f"{root}/released").join(late, "request_id").isEmpty()
 
 
 def test_guard_stream_is_stateless(spark, small, tmp_path):

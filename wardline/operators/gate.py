@@ -23,7 +23,7 @@ LOCKED = ("DENIED — Supervisor ", " account is locked")
 NOT_AUTHORISED = "DENIED — Supervisor not authorised for role "
 LOCKED_NOW = ("DENIED — Supervisor ", f" locked after {policy.MAX_FAILED_ATTEMPTS} failed attempts")
 UNVERIFIED = "DENIED — PIN verification failed"
-ALERT_SUBJECT = ("[ALERT] Supervisor Lockout — Request ", "...")  # around the id's first 8 characters
+ALERT_SUBJECT = ("Supervisor account locked (request ", ")")  # around the id's first 8 characters
 ALERT_TIME = "yyyy-MM-dd HH:mm:ss 'UTC'"
 # --- end of fixed values ---
 
@@ -203,21 +203,13 @@ def escalations(lock_events: DataFrame, contact: DataFrame) -> DataFrame:
 
     lock_events: request_id, ts, user_role, query, supervisor_id, supervisor_name, failed_attempts.
     """
-    def line(label: str, value: Column | str) -> list[Column]:
-        return [F.lit(f"{label:<17}: "), value if isinstance(value, Column) else F.col(value), F.lit("\n")]
-
     failed = F.col("failed_attempts").cast("string")
-    sent = F.date_format("ts", ALERT_TIME)
+    sent = F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), ALERT_TIME)
     body = F.concat(
-        F.lit("SUPERVISOR LOCKOUT ALERT\n\nA supervisor account has been locked after "), failed,
-        F.lit(" failed PIN attempts.\n\nREQUEST DETAILS\n"),
-        *line("Request ID", "request_id"), *line("Timestamp", sent), *line("Requester Role", "user_role"),
-        *line("Query", F.concat(F.lit('"'), "query", F.lit('"'))),
-        F.lit("\nLOCKOUT DETAILS\n"),
-        *line("Supervisor ID", "supervisor_id"), *line("Supervisor Name", "supervisor_name"),
-        *line("Failed Attempts", F.concat(failed, F.lit(f" of {policy.MAX_FAILED_ATTEMPTS}"))),
-        *line("Account Status", F.lit("LOCKED")),
-        F.lit("\nOUTCOME\nThis request has been AUTO-REJECTED.\nNo sensitive data was released.\n"))
+        F.col("supervisor_name"), F.lit(" ("), F.col("supervisor_id"), F.lit(") may approve nothing more: wrong PINs "),
+        failed, F.lit(f" of {policy.MAX_FAILED_ATTEMPTS}.\nThe last one came at "), sent,
+        F.lit(" for request "), F.col("request_id"), F.lit(" of role "), F.col("user_role"),
+        F.lit(", which is refused; nothing was released for it.\nIt asked: \""), F.col("query"), F.lit('"\n'))
     return lock_events.select(
         "request_id", "supervisor_id", "ts",
         contact.select("email").scalar().alias("send_to"),

@@ -35,13 +35,18 @@ _SCORED = "request_id string, nric string, score double"
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Unit-length float64 rows; an all-zero vector stays zero, so its every score is 0."""
+    """Unit-length float64 rows; an all-zero vector stays zero, so its every score is 0.
+
+    Vectors of different lengths, or with missing elements, can't be scored: the job fails."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     n = len(vectors)
     if not n:
         return np.zeros((0, 0))
-    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    dims, flat = pc.unique(pc.list_value_length(vectors)), vectors.flatten()
+    if vectors.null_count or flat.null_count or len(dims) != 1:
+        raise ValueError("vectors must have one length and no missing elements")
+    m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     norms[norms == 0] = 1.0
     return m / norms[:, None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,9 +130,8 @@ def full_refresh(spark, d):
 @query
 def ensure_tables(spark, d):
     """Created twice without effect, then filled; a keyless row is refused."""
-    root, database = new_path(spark, "tables"), "wardline_check"
-    for name in schemas.TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+    root = new_path(spark, "tables")
+    database = f"wardline_{uuid.uuid4().hex}"
     t.ensure_tables(spark, root, database)
     sheet = ingest.normalise(m.personnel(spark, d))
     t.append(sheet, f"{root}/employee_data", schemas.EMPLOYEE_DATA)
@@ -168,27 +168,30 @@ def role_gate(spark, d):
         "request_id", "user_role", F.array_join("allowed_fields", "|").alias("allowed"), "role_error")
 
 
+def _all_texts(spark, d):
+    """id, text: documents, web pages, benchmark items, the requests made of user turns, and all other turns."""
+    def of(name, letter, key, column):
+        return m.table(spark, d, name).select(
+            F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), F.col(column).alias("text"))
+
+    others = m.table(spark, d, "conversations").filter("role IS DISTINCT FROM 'user'").select(
+        F.concat_ws("-", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    asked = m.requests(spark, d).select(F.concat(F.lit("r"), "request_id").alias("id"), F.col("query").alias("text"))
+    return (of("documents", "d", "doc_id", "text").unionByName(of("pages", "p", "page_id", "html"))
+            .unionByName(of("benchmark", "b", "item_id", "text")).unionByName(asked).unionByName(others))
+
+
 @query
 def sanitise(spark, d):
-    """Every text of the corpus as a query: documents, turns and benchmark items."""
-    texts = (m.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-             .unionByName(m.requests(spark, d).select(
-                 F.concat(F.lit("r"), "request_id").alias("id"), F.col("query").alias("text")))
-             .unionByName(m.table(spark, d, "benchmark").select(
-                 F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")))
-    return guard_ops.sanitise(t.balanced(texts), "text").select("id", "valid", "clean_query", "reject_reason")
+    """Every text of the corpus as a query."""
+    return guard_ops.sanitise(t.balanced(_all_texts(spark, d)), "text").select(
+        "id", "valid", "clean_query", "reject_reason")
 
 
 @query
 def injection_detect(spark, d):
-    """The rules over whole texts: web pages, documents and turns."""
-    texts = (m.table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
-                                               F.col("html").alias("text"))
-             .unionByName(m.table(spark, d, "documents").select(
-                 F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"))
-             .unionByName(m.requests(spark, d).select(
-                 F.concat(F.lit("r"), "request_id").alias("id"), F.col("query").alias("text"))))
-    return guard_ops.scan_injection(t.balanced(texts), "text").select("id", "rule", "rule_description")
+    """The rules over every whole text of the corpus."""
+    return guard_ops.scan_injection(t.balanced(_all_texts(spark, d)), "text").select("id", "rule", "rule_description")
 
 
 def _guarded(spark, d):
@@ -540,7 +543,7 @@ def stream_lockout(spark, d):
 @query
 def stream_escalation(spark, d):
     return spark.read.parquet(f"{_lockout_stream(spark, d)}/outbox").select(
-        "request_id", "supervisor_id", "send_to", "subject")
+        "request_id", "supervisor_id", "send_to", "subject", "body")
 
 
 @query

@@ -65,6 +65,16 @@ def _values(rows: dict[str, list[str]]) -> str:
     return ", ".join(f"({_quote(r)}, [{', '.join(map(_quote, f))}])" for r, f in rows.items())
 
 
+def _subject(request: str) -> str:
+    return f"'Supervisor account locked (request ' || substr({request}, 1, 8) || ')'"
+
+
+def _alert(request: str, us: str, role: str, query: str, supervisor: str, name: str) -> str:
+    return f"""concat({name}, ' (', {supervisor}, ') may approve nothing more: wrong PINs 3 of 3.', chr(10),
+        'The last one came at ', strftime(make_timestamp({us}), '%Y-%m-%d %H:%M:%S'), ' UTC for request ', {request},
+        ' of role ', {role}, ', which is refused; nothing was released for it.', chr(10), 'It asked: "', {query}, '"', chr(10))"""
+
+
 _EMP = "nric, name, employment, ethnicity, medical_info, financial_info, criminal_record"
 _ROLES4 = "['HR_Admin', 'Medical_Lead', 'Finance_Lead', 'General_Staff']"
 _SENSITIVE = "[" + ", ".join(map(_quote, policy.SENSITIVE_FIELDS)) + "]"
@@ -125,7 +135,8 @@ _view("requests", [], """SELECT conv_id || '-' || turn AS request_id, conv_id, t
       WHEN (conv_id + turn) % 16 = 7 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: 0.0::DOUBLE)
       WHEN (conv_id + turn) % 4 = 3 THEN list_reverse(CAST(embedding AS DOUBLE[]))
       ELSE CAST(embedding AS DOUBLE[]) END AS q
-    FROM conversations LEFT JOIN embeddings ON vec_id = (conv_id * 13 + turn * 7) % 500 WHERE role = 'user'""")
+    FROM (SELECT *, (conv_id * 13 + turn * 7) % (SELECT count(*) FROM embeddings) AS vec_id
+      FROM conversations WHERE role = 'user') LEFT JOIN embeddings USING (vec_id)""")
 _view("cleaned", ["requests"], f"SELECT *, {_clean('query')} AS whole FROM requests")
 _view("judged", ["cleaned"], f"""SELECT *, substr(whole, 1, 500) AS clean,
     {_reject('query', 'whole')} AS reason FROM cleaned""")
@@ -184,11 +195,12 @@ _view("contact", ["managers"], """SELECT coalesce((SELECT email FROM managers WH
     ORDER BY manager_id LIMIT 1), '') AS send_to""")
 _view("attempts", [], """SELECT conv_id || '-' || turn AS request_id,
     CASE WHEN (conv_id * 3 + turn) % 13 = 0 THEN 'SUP999999'
-      ELSE ' sup' || lpad(CAST((conv_id * 7 + turn) % 40 AS VARCHAR), 6, '0') || ' ' END AS entered,
+      ELSE ' sup' || lpad(CAST(who AS VARCHAR), 6, '0') || ' ' END AS entered,
     n AS attempt_no, (1704067200 + conv_id * 90 + turn * 7 + n) * 1000000 AS us,
     CASE WHEN (conv_id * 3 + turn + n * 5) % 4 = 0
-      THEN lpad(CAST((conv_id * 7 + turn) % 40 * 37 % 10000 AS VARCHAR), 4, '0') ELSE '0000x' END AS pin
-    FROM conversations, (VALUES (1), (2), (3)) AS t(n)
+      THEN lpad(CAST(who * 37 % 10000 AS VARCHAR), 4, '0') ELSE '0000x' END AS pin
+    FROM (SELECT *, (conv_id * 7 + turn) % (SELECT count(*) FROM supplier) AS who FROM conversations),
+      (VALUES (1), (2), (3)) AS t(n)
     WHERE role = 'user' AND (conv_id * 3 + turn) % 11 <> 0 AND ((conv_id * 3 + turn) % 7 <> 0 OR n < 3)""")
 _view("tries", ["attempts"], "SELECT *, upper(trim(entered)) AS supervisor_id FROM attempts")
 _view("first_try", ["tries"], "SELECT * FROM tries WHERE attempt_no = 1")
@@ -229,15 +241,8 @@ def _gate(facing: str, tag: str) -> None:
         LEFT JOIN (SELECT request_id, bool_or(locks) AS locks, bool_or(ok) AS ok
                    FROM machine{tag} WHERE counted GROUP BY 1) o ON o.request_id = g.request_id""")
     _view(f"alerts{tag}", [f"machine{tag}", f"faced{tag}", "requests", "contact"], f"""SELECT m.request_id,
-        m.supervisor_id, send_to, '[ALERT] Supervisor Lockout — Request ' || substr(m.request_id, 1, 8) || '...' AS subject,
-        concat('SUPERVISOR LOCKOUT ALERT', chr(10), chr(10), 'A supervisor account has been locked after 3 failed PIN attempts.',
-          chr(10), chr(10), 'REQUEST DETAILS', chr(10), 'Request ID       : ', m.request_id, chr(10),
-          'Timestamp        : ', strftime(make_timestamp(m.us), '%Y-%m-%d %H:%M:%S'), ' UTC', chr(10),
-          'Requester Role   : ', g.user_role, chr(10), 'Query            : "', r.query, '"', chr(10), chr(10),
-          'LOCKOUT DETAILS', chr(10), 'Supervisor ID    : ', m.supervisor_id, chr(10),
-          'Supervisor Name  : ', g.name, chr(10), 'Failed Attempts  : 3 of 3', chr(10),
-          'Account Status   : LOCKED', chr(10), chr(10), 'OUTCOME', chr(10),
-          'This request has been AUTO-REJECTED.', chr(10), 'No sensitive data was released.', chr(10)) AS body
+        m.supervisor_id, send_to, {_subject('m.request_id')} AS subject,
+        {_alert('m.request_id', 'm.us', 'g.user_role', 'r.query', 'm.supervisor_id', 'g.name')} AS body
         FROM machine{tag} m JOIN faced{tag} g USING (request_id) JOIN requests r USING (request_id), contact
         WHERE locks""")
 
@@ -334,10 +339,9 @@ def _sql(reads: list[str], select: str) -> str:
 
 _AUDIT_COLS = "us, request_id, user_role, query, decision, records_returned, fields_exposed, hitl_triggered, " \
     "hitl_decision, hitl_timeout, rbac_rule_applied, injection_flag, error"
-_TEXTS_CLEAN = """(SELECT 'd' || doc_id AS id, text FROM documents UNION ALL
-    SELECT 'r' || request_id, query FROM requests UNION ALL SELECT 'b' || item_id, text FROM benchmark)"""
-_TEXTS_SCAN = """(SELECT 'p' || page_id AS id, html AS text FROM pages UNION ALL
-    SELECT 'd' || doc_id, text FROM documents UNION ALL SELECT 'r' || request_id, query FROM requests)"""
+_TEXTS = """(SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages UNION ALL
+    SELECT 'b' || item_id, text FROM benchmark UNION ALL SELECT 'r' || request_id, query FROM requests UNION ALL
+    SELECT 't-' || conv_id || '-' || turn, text FROM conversations WHERE role IS DISTINCT FROM 'user')"""
 _LETTERS = "[CAST(length(content) AS FLOAT), CAST(length(content) - length(replace(content, 'E', '')) AS FLOAT), " \
     "CAST(length(content) - length(replace(content, '0', '')) AS FLOAT)]"
 
@@ -374,9 +378,9 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         ELSE {_strip('query')} END AS query FROM requests"""),
     "role_gate": (["checked"], """SELECT request_id, user_role, array_to_string(allowed, '|') AS allowed, role_error FROM checked"""),
     "sanitise": (["requests"], f"""SELECT id, {_reject('text', 'c')} = '' AS valid, substr(c, 1, 500) AS clean_query,
-        {_reject('text', 'c')} AS reject_reason FROM (SELECT *, {_clean('text')} AS c FROM {_TEXTS_CLEAN})"""),
+        {_reject('text', 'c')} AS reject_reason FROM (SELECT *, {_clean('text')} AS c FROM {_TEXTS})"""),
     "injection_detect": (["requests"], f"""SELECT id, rule, {_RULE_NAME} AS rule_description FROM (
-        SELECT id, {_rule('text')} AS rule FROM {_TEXTS_SCAN})"""),
+        SELECT id, {_rule('text')} AS rule FROM {_TEXTS})"""),
     "guard_decide": (["guarded"], """SELECT request_id, clean AS clean_query, flag, why AS block_reason,
         role_error IS NULL AND flag = '' AS proceeds FROM guarded"""),
     "dot_norm_cosine": ([], f"""SELECT a.vec_id, {_r4('''list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
@@ -465,9 +469,9 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "stream_guard": (["checked"], "SELECT request_id, clean AS clean_query, flag, why AS block_reason, role_error FROM checked"),
     "stream_rate_limit": (["event_limited"], "SELECT request_id, user_role, blocked FROM event_limited"),
     "stream_lockout": (["event_decided"], "SELECT supervisor_id, request_id, ok, failed_after, locks, counted FROM event_decided"),
-    "stream_escalation": (["event_decided", "contact"], """SELECT request_id, supervisor_id, send_to,
-        '[ALERT] Supervisor Lockout — Request ' || substr(request_id, 1, 8) || '...' AS subject
-        FROM event_decided, contact WHERE locks"""),
+    "stream_escalation": (["event_decided", "supervisors", "contact"], f"""SELECT request_id, supervisor_id, send_to,
+        {_subject('request_id')} AS subject, {_alert('request_id', 'us', "''", "''", 'supervisor_id', 'name')} AS body
+        FROM event_decided JOIN supervisors USING (supervisor_id), contact WHERE locks"""),
 }
 
 

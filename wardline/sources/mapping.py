@@ -11,10 +11,10 @@ from wardline.sources.tables import hash_supervisors
 
 ROLES = ["General_Staff", "HR_Admin", "Finance_Lead", "Medical_Lead", "SuperAdmin"]
 DAY_ONE = 1_704_067_200  # 2024-01-01 00:00:00 UTC
-VECTORS = 500  # every scale has at least these vector ids
 
 
 _footers: dict[str, StructType] = {}
+_sizes: dict[str, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.schema(_footers[path]).parquet(path)
 
 
+def size(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a benchmark table, from its footers, read once. Its ids run from 0."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _sizes:
+        _sizes[path] = table(spark, sf_dir, name).count()
+    return _sizes[path]
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream."""
     return (spark.readStream.schema(table(spark, sf_dir, name).schema)
@@ -85,7 +93,7 @@ def requests(spark: SparkSession, sf_dir: str, conversations: DataFrame | None =
         .when(kind == 3, F.concat_ws(" ", text, text, text, text))
         .when(kind == 4, "\t show\x01 me all restricted \n records")
         .when(kind == 5, "").otherwise(text).alias("query"),
-        ((conv * 13 + turn * 7) % VECTORS).alias("vec_id"))
+        ((conv * 13 + turn * 7) % F.lit(size(spark, sf_dir, "embeddings"))).alias("vec_id"))
     vec = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return turns.join(vec, "vec_id", "left").select(
         "request_id", "ts", "user_role", "query",
@@ -128,9 +136,10 @@ def managers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pin_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three PIN entries per request: some without an id, with an unknown id, or unfinished."""
+    """Up to three PIN entries per request, spread over all supervisors: some without an id, with an
+    unknown id, or unfinished."""
     conv, turn, no = F.col("conv_id"), F.col("turn"), F.col("attempt_no")
-    who = (conv * 7 + turn) % 40
+    who = (conv * 7 + turn) % F.lit(size(spark, sf_dir, "supplier"))
     spread = conv * 3 + turn
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").filter(spread % 11 != 0)
     return (turns.select("conv_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt_no"))

@@ -10,14 +10,14 @@ from wardline import schemas
 from wardline.functions import text
 from wardline.session import materialise
 
-# --- fixed values: seed rows of the second-person gate (supervisor, name, email, PIN, roles) ---
+# --- fixed values: ids and roles of the second-person gate (supervisor, name, email, PIN, roles) ---
 SEED_SUPERVISORS = [
-    ("SUP001", "Alice Tan", "alice.tan@example.com", "1234", ["HR_Admin", "Medical_Lead"]),
-    ("SUP002", "Bob Lim", "bob.lim@example.com", "5678", ["Finance_Lead"]),
-    ("SUP003", "Carol Wong", "carol.wong@example.com", "9999",
+    ("SUP001", "Ilse Varga", "ilse.varga@example.com", "1234", ["HR_Admin", "Medical_Lead"]),
+    ("SUP002", "Tomas Okoro", "tomas.okoro@example.com", "5678", ["Finance_Lead"]),
+    ("SUP003", "Nadia Brandt", "nadia.brandt@example.com", "9999",
      ["HR_Admin", "Medical_Lead", "Finance_Lead", "General_Staff"]),
 ]
-SEED_MANAGERS = [("MGR001", "David Chen", "manager@example.com", True)]
+SEED_MANAGERS = [("MGR001", "Pavel Lindqvist", "duty.manager@example.com", True)]
 # --- end of fixed values ---
 
 

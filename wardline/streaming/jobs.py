@@ -7,7 +7,7 @@ stream as well, and batch and stream share one definition. Each epoch overwrites
 folder, so a replayed epoch after a failure leaves the same files.
 
 Event time decides. An attempt older than what its role has already been decided for can no longer
-be placed; it goes to the late table instead of being dropped.
+be placed; it goes to the late table, and a governed request among them is refused with an audit row.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline import policy, schemas
-from wardline.operators import gate
+from wardline.operators import audit, gate
 from wardline.operators.guard import gated_guard
 from wardline.operators.ratelimit import Limits, micros, rate_limit, ratelog
 from wardline.plans.governed import governed_retrieval
 from wardline.sources.tables import manager_contact
 
+LATE, LATE_REASON = "LATE", "Request arrived after later ones of its role had been decided."
 COUNTERS = ["supervisor_id", "failed_attempts", "is_locked", "locked_by_session"]
 HIGH_WATER = "user_role string, high_us long"
 
@@ -125,7 +126,7 @@ def lockout_stream(pins: DataFrame, supervisors: DataFrame, managers: DataFrame,
                  .join(batch.select("supervisor_id", "request_id", "attempt_no", *about),
                        ["supervisor_id", "request_id", "attempt_no"])
                  .join(before.select("supervisor_id", F.col("name").alias("supervisor_name")),
-                       "supervisor_id", "left"))
+                       "supervisor_id"))  # an id that nobody holds raises no alert
         for c in {"user_role", "query"} - set(about):
             locks = locks.withColumn(c, F.lit(""))
         _epoch(gate.escalations(locks, manager_contact(managers, fallback_contact)), root, "outbox", epoch)
@@ -133,9 +134,23 @@ def lockout_stream(pins: DataFrame, supervisors: DataFrame, managers: DataFrame,
     return run(pins, each, f"{root}/checkpoint")
 
 
+def refused_late(late: DataFrame) -> DataFrame:
+    """Audit rows of requests that came too late for the limiter. Role and content controls go first."""
+    judged = gated_guard(late)
+    open_ = F.col("role_error").isNull() & (F.col("flag") == "")
+    none = {"records_returned": "long", "top_score": "double", "gate_decision": "string", "hitl_decision": "string",
+            "supervisor_id": "string"}
+    return audit.build(
+        judged.withColumn("block_reason", F.when(open_, LATE_REASON).otherwise(F.col("block_reason")))
+        .withColumn("flag", F.when(open_, LATE).otherwise(F.col("flag")))
+        .withColumns({"has_vector": F.lit(False), "triggered": F.lit(False)}
+                     | {c: F.lit(None).cast(kind) for c, kind in none.items()}))
+
+
 def audit_stream(requests: DataFrame, employees: DataFrame, embeddings: DataFrame,
                  supervisors: DataFrame, managers: DataFrame, attempts: DataFrame, root: str):
-    """Decide requests as they arrive; the audit rows go to root/audit.
+    """Decide requests as they arrive: root/audit has a row of every request, root/released the records
+    of approved ones, root/ratelog the limiter's verdicts, root/outbox the alerts.
 
     Each epoch starts from the limiter history and the supervisor table the one before left behind.
     attempts: the PIN entries recorded so far for these requests.
@@ -147,7 +162,9 @@ def audit_stream(requests: DataFrame, employees: DataFrame, embeddings: DataFram
         before = supervisors if epoch == 0 else spark.read.schema(supervisors.schema).parquet(
             f"{root}/supervisors/epoch={epoch - 1}")
         out = governed_retrieval(on_time, employees, embeddings, before, managers, attempts, prior)
-        _epoch(out.audit, root, "audit", epoch)
+        _epoch(out.audit.unionByName(refused_late(late)), root, "audit", epoch)
+        _epoch(out.released, root, "released", epoch)
+        _epoch(out.ratelog, root, "ratelog", epoch)
         _epoch(out.escalations, root, "outbox", epoch)
         _epoch(out.supervisors, root, "supervisors", epoch)
         _epoch(newest_allowed(prior.unionByName(out.ratelog)), root, "allowed", epoch)
