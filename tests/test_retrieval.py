@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,9 @@ def test_plans(spark, small):
     assert "WindowGroupLimit" not in plan_of(retrieval.topk(reqs, stored))
     merged = plan_of(retrieval.topk(reqs, stored, broadcast_bytes=0, block_bytes=10_000))
     assert "WindowGroupLimit" in merged and "Cartesian" not in merged and "NestedLoop" not in merged
+
+
+def test_vectors_of_unequal_length_or_with_gaps_are_refused():
+    for bad in ([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]], [[1.0, None]], [None, [1.0]]):
+        with pytest.raises(ValueError):
+            retrieval._matrix(pa.array(bad, pa.list_(pa.float32())))
