@@ -206,10 +206,10 @@ def escalations(lock_events: DataFrame, contact: DataFrame) -> DataFrame:
     failed = F.col("failed_attempts").cast("string")
     sent = F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), ALERT_TIME)
     body = F.concat(
-        F.col("supervisor_name"), F.lit(" ("), F.col("supervisor_id"), F.lit(") may approve nothing more: wrong PINs "),
+        F.coalesce("supervisor_name", F.lit("")), F.lit(" ("), F.col("supervisor_id"), F.lit(") may approve nothing more: wrong PINs "),
         failed, F.lit(f" of {policy.MAX_FAILED_ATTEMPTS}.\nThe last one came at "), sent,
-        F.lit(" for request "), F.col("request_id"), F.lit(" of role "), F.col("user_role"),
-        F.lit(", which is refused; nothing was released for it.\nIt asked: \""), F.col("query"), F.lit('"\n'))
+        F.lit(" for request "), F.col("request_id"), F.lit(" of role "), F.coalesce("user_role", F.lit("")),
+        F.lit(", which is refused; nothing was released for it.\nIt asked: \""), F.coalesce("query", F.lit("")), F.lit('"\n'))
     return lock_events.select(
         "request_id", "supervisor_id", "ts",
         contact.select("email").scalar().alias("send_to"),
