@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests import seeds
 from wardline import schemas
 from wardline.operators import gate
 from wardline.sources import tables
@@ -18,7 +19,7 @@ def tries_frame(spark, rows):
 
 
 def decide(spark, roles, rows, supervisors=None, **kw):
-    sup = tables.seed_dims(spark)[0] if supervisors is None else supervisors
+    sup = seeds.seed_dims(spark)[0] if supervisors is None else supervisors
     reqs = spark.createDataFrame(list(roles.items()), "request_id string, user_role string")
     decisions, tried = gate.gate(reqs, tries_frame(spark, rows), sup, **kw)
     state = {r.supervisor_id: r for r in gate.supervisor_state(sup, tried).collect()}
@@ -77,7 +78,7 @@ def test_unauthorised_requests_do_not_touch_the_counter_but_see_the_lock(spark):
 
 
 def snapshot(spark, **changes):
-    rows = [{**r.asDict(), **changes.get(r.supervisor_id, {})} for r in tables.seed_dims(spark)[0].collect()]
+    rows = [{**r.asDict(), **changes.get(r.supervisor_id, {})} for r in seeds.seed_dims(spark)[0].collect()]
     return spark.createDataFrame([tuple(r[c] for c in schemas.SUPERVISORS.names) for r in rows], schemas.SUPERVISORS)
 
 
@@ -102,7 +103,7 @@ def machine(rows, failed_before):
     out = {}
     for sup in {r[0] for r in rows}:
         n, locked = failed_before.get(sup, 0), False
-        shut = n >= 3
+        shut = n >= 3 or sup not in failed_before
         for _, _, req, ok in sorted(r for r in rows if r[0] == sup):
             if locked or shut:
                 out[req] = (None, False, False)
@@ -116,10 +117,10 @@ def machine(rows, failed_before):
 @pytest.mark.parametrize("max_key_rows", [10_000, 30], ids=["one window", "hot keys in pieces"])
 def test_lockout_equals_state_machine(spark, max_key_rows):
     rng, rows = random.Random(11), []
-    for sup, n, p in (("hot", 900, 0.9), ("hot2", 400, 0.75), ("rare", 5, 0.2), ("seeded", 40, 0.6), ("full", 40, 0.5), ("calm", 29, 0.95)):
+    for sup, n, p in (("hot", 900, 0.9), ("hot2", 400, 0.75), ("rare", 5, 0.2), ("seeded", 40, 0.6), ("full", 40, 0.5), ("calm", 29, 0.95), ("nobody", 40, 0.2)):
         for _ in range(n):
             rows.append((sup, BASE + rng.randrange(500) * 1_000_000, f"q{len(rows):05d}", rng.random() < p))
-    before = {"seeded": 2, "full": 3}
+    before = {"hot": 0, "hot2": 0, "rare": 0, "calm": 0, "seeded": 2, "full": 3}
     df = spark.createDataFrame(rows, "supervisor_id string, us long, request_id string, ok boolean").select(
         "supervisor_id", "request_id", F.lit(1).alias("attempt_no"), F.timestamp_micros("us").alias("ts"), "ok")
     sup = spark.createDataFrame([(k, False, v) for k, v in before.items()], "supervisor_id string, is_locked boolean, failed_attempts long")
@@ -135,7 +136,7 @@ def test_hot_and_plain_paths_agree_in_the_gate(spark, small):
 
 
 def test_seeds_and_contact(spark):
-    sup, man = tables.seed_dims(spark, "boss@example.com")
+    sup, man = seeds.seed_dims(spark, "boss@example.com")
     rows, managers = (x.collect() for x in tables.verify_readback(sup, man))
     assert [(r.supervisor_id, r.roles) for r in rows] == [
         ("SUP001", ["HR_Admin", "Medical_Lead"]), ("SUP002", ["Finance_Lead"]),
@@ -163,3 +164,13 @@ def test_a_request_has_no_more_tries_than_at_its_first(spark):
     rows = [("a", "SUP001", 1, 1, "bad"), ("b", "SUP001", 1, 2, "1234"), ("a", "SUP001", 2, 3, "bad"), ("a", "SUP001", 3, 4, "1234")]
     got, _, _ = decide(spark, {"a": "HR_Admin", "b": "HR_Admin"}, rows, snapshot(spark, SUP001={"failed_attempts": 1}))
     assert got["a"].gate_decision == "DENIED — PIN verification failed" and got["b"].gate_decision == "APPROVED"
+
+
+def test_nobody_approves_the_own_request(spark):
+    reqs = spark.createDataFrame([("a", "HR_Admin", " sup001"), ("b", "HR_Admin", "SUP002"), ("c", "HR_Admin", None)],
+                                 "request_id string, user_role string, requester_id string")
+    rows = [(r, "SUP001", 1, i, "1234") for i, r in enumerate("abc")]
+    decisions, tried = gate.gate(reqs, tries_frame(spark, rows), seeds.seed_dims(spark)[0])
+    got = {r.request_id: r.gate_decision for r in decisions.collect()}
+    assert got == {"a": gate.OWN_REQUEST, "b": "APPROVED", "c": "APPROVED"}
+    assert sorted(r.request_id for r in tried.collect()) == ["b", "c"]

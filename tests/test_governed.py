@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
+from tests import seeds
 from wardline import schemas
 from wardline.plans.governed import governed_retrieval, output_view
 from wardline.sources import tables
@@ -13,7 +14,7 @@ def world(spark, n=40):
     people = spark.createDataFrame(
         [(f"S{i}", f"name{i}", "Active", "E", f"med{i}", f"fin{i}", "none") for i in range(n)], schemas.EMPLOYEE_DATA)
     vecs = spark.createDataFrame([(f"S{i}", "t", [1.0, i / n, 0.0]) for i in range(n + 3)], schemas.EMPLOYEE_EMBEDDINGS)
-    return people, vecs, *tables.seed_dims(spark, "boss@example.com")
+    return people, vecs, *seeds.seed_dims(spark, "boss@example.com")
 
 
 def run(spark, reqs, tries=(), prior=None, **kw):
@@ -79,6 +80,9 @@ def test_released_records(outcome):
     view = {(r.request_id, r.record_no): r for r in output_view(out.released).collect()}
     assert view[("far", 1)].low_similarity and not view[("money", 1)].low_similarity
     assert view[("money", 1)].label == "[AI-GENERATED]"
+    refused = {r.request_id: r for r in output_view(out.released, out.audit).collect() if r.message}
+    assert set(refused) == {r.request_id for r in out.audit.collect() if r.decision != "APPROVED"} != set()
+    assert all(r.message.startswith("ACCESS DENIED: ") and r.record_no is None for r in refused.values())
 
 
 def test_outbox_state_and_ratelog(outcome):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tests import seeds
 from wardline import schemas
 from wardline.operators import ingest
 from wardline.sources import tables
@@ -52,13 +53,27 @@ def test_embedding_failures_cost_only_their_row(spark):
 
 
 def test_refresh_replaces_and_ensure_is_idempotent(spark, tmp_path, sheet):
-    path = str(tmp_path / "employee_data")
-    tables.full_refresh(ingest.ingest(sheet)[0], path)
-    tables.full_refresh(ingest.ingest(sheet)[0].filter("nric = 'S1'"), path)
-    assert spark.read.parquet(path).count() == 1
     root = str(tmp_path / "db")
     names = tables.ensure_tables(spark, root, "wl_test")
     assert tables.ensure_tables(spark, root, "wl_test") == names and len(names) == 6
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    assert tuple(ingest.ingest_job(sheet, model, "wl_test", root).first()) == (2, 2, 2, 0) and calls.value == 2
+    assert spark.table("wl_test.employee_data").count() == spark.table("wl_test.employee_embeddings").count() == 2
+    employees = ingest.ingest(sheet)[0]
+    broken = employees.withColumn("name", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        tables.full_refresh({"wl_test.employee_embeddings": spark.table("wl_test.employee_embeddings").limit(1),
+                             "wl_test.employee_data": broken}, root)
+    assert spark.table("wl_test.employee_data").count() == spark.table("wl_test.employee_embeddings").count() == 2
+    tables.full_refresh({"wl_test.employee_data": employees.filter("nric = 'S1'")}, root)
+    assert [r.nric for r in spark.table("wl_test.employee_data").collect()] == ["S1"]
+    for name in ("employee_data", "employee_embeddings"):
+        tables.full_refresh({f"wl_test.{name}": spark.table(f"wl_test.{name}").filter("false")}, root)
     for name, schema in schemas.TABLES.items():
         assert spark.table(f"wl_test.{name}").columns == schema.names
         assert spark.table(f"wl_test.{name}").count() == 0
@@ -87,7 +102,7 @@ def test_lookups(spark, tmp_path):
     spark.range(50).select(F.concat(F.lit("r"), "id").alias("request_id"), F.lit("d").alias("decision")).write.parquet(str(tmp_path / "a"))
     one = tables.lookup_audit_entry(spark.read.parquet(str(tmp_path / "a")), "r7")
     assert one.first().request_id == "r7" and "EqualTo(request_id,r7)" in plan_of(one)
-    sup = tables.seed_dims(spark)[0]
+    sup = seeds.seed_dims(spark)[0]
     asked = spark.createDataFrame([("a", " sup002"), ("b", "SUP999"), ("c", " ")], "request_id string, supervisor_id string")
     got = {r.request_id: r.supervisor_name for r in tables.lookup_supervisor(asked, sup).collect()}
     assert got == {"a": "Tomas Okoro", "b": None, "c": None}

@@ -26,6 +26,7 @@ UNVERIFIED = "DENIED — PIN verification failed"
 ALERT_SUBJECT = ("Supervisor account locked (request ", ")")  # around the id's first 8 characters
 ALERT_TIME = "yyyy-MM-dd HH:mm:ss 'UTC'"
 # --- end of fixed values ---
+OWN_REQUEST = "DENIED — Requester and supervisor are the same person"
 
 ORDER = ["us", "request_id", "attempt_no"]
 
@@ -41,19 +42,19 @@ def lockout(attempts: DataFrame, supervisors: DataFrame | None = None,
     The counter is a distance between positions: this row's number less the number of the last
     correct row. Later rows cannot move the first lock, so one pass is exact. supervisors: snapshot
     with failed_attempts and is_locked; an already locked account counts nothing, and neither does
-    one whose counter is full although it is not locked.
+    one whose counter is full although it is not locked, nor an id that the snapshot does not hold.
     """
     rows = attempts.select("supervisor_id", "request_id", "attempt_no", micros().alias("us"), "ok")
     if supervisors is not None:
         seed = supervisors.select(
             "supervisor_id", F.coalesce("failed_attempts", F.lit(0)).alias("failed_before"),
             F.coalesce("is_locked", F.lit(False)).alias("locked_before"))
-        rows = rows.join(seed, "supervisor_id", "left")
+        rows = rows.join(seed, "supervisor_id", "left").withColumn(
+            "locked_before", F.coalesce("locked_before", F.lit(True)))
     else:
         rows = rows.withColumn("failed_before", F.lit(0)).withColumn("locked_before", F.lit(False))
     rows = (rows.withColumn("failed_before", F.coalesce("failed_before", F.lit(0)))
-            .withColumn("shut", F.coalesce("locked_before", F.lit(False))
-                        | (F.col("failed_before") >= max_failed)))
+            .withColumn("shut", F.col("locked_before") | (F.col("failed_before") >= max_failed)))
     marked = running_marks(rows, "supervisor_id", ORDER, "ok", max_key_rows)
     streak = F.col("seq") - F.coalesce(F.col("mark_seq"), -F.col("failed_before"))
     place = F.struct(*ORDER)
@@ -71,17 +72,15 @@ def lockout(attempts: DataFrame, supervisors: DataFrame | None = None,
                     "remaining", "locks", "counted", "seq"))
 
 
-def supervisor_state(snapshot: DataFrame, decided: DataFrame, how: str = "left") -> DataFrame:
-    """The supervisor table after the attempts, to be written over the old snapshot.
-
-    An untouched supervisor keeps its row; how="full" adds ids the snapshot does not know.
-    """
+def supervisor_state(snapshot: DataFrame, decided: DataFrame) -> DataFrame:
+    """The supervisor table after the attempts, to be written over the old snapshot. An untouched
+    supervisor keeps its row."""
     last = decided.filter("counted").groupBy("supervisor_id").agg(
         F.max_by("failed_after", "seq").alias("new_failed"),
         F.max("locks").alias("now_locked"),
         F.max(F.when(F.col("locks"), F.col("request_id"))).alias("lock_request"))
     touched = F.col("now_locked").isNotNull()
-    return (snapshot.join(last, "supervisor_id", how)
+    return (snapshot.join(last, "supervisor_id", "left")
             .withColumn("failed_attempts", F.when(touched, F.col("new_failed"))
                         .otherwise(F.col("failed_attempts")).cast("long"))
             .withColumn("is_locked", F.when(touched, F.col("now_locked")).otherwise(F.col("is_locked")))
@@ -113,20 +112,22 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
          max_key_rows: int = MAX_KEY_ROWS) -> tuple[DataFrame, DataFrame]:
     """(decisions, decided attempts).
 
-    requests: request_id, user_role; those that need review. attempts: request_id, supervisor_id,
-    attempt_no, ts, pin. decisions: request_id, supervisor_id, hitl_decision, gate_decision,
-    locked_now.
+    requests: request_id, user_role and optionally requester_id; those that need review. attempts:
+    request_id, supervisor_id, attempt_no, ts, pin. decisions: request_id, supervisor_id,
+    hitl_decision, gate_decision, locked_now. Decided attempts also have their position in the request.
 
-    Check order: id entered, supervisor known, not locked, may approve the role, PIN. A request
-    whose PIN tries run out without an answer is not released.
+    Check order: id entered, supervisor known, not locked, not the requester (where requester_id is
+    given), may approve the role, PIN. A request whose PIN tries run out without an answer is not released.
     """
+    asked = requests.select("request_id", "user_role", (
+        F.col("requester_id") if "requester_id" in requests.columns else F.lit(None)).cast("string").alias("requester_id"))
     dim = supervisors.select(
         "supervisor_id", "hashed_pin", "can_approve_roles", "failed_attempts", "is_locked",
         F.lit(True).alias("known"))
-    faced = (requests.select("request_id", "user_role")
-             .join(entered_ids(attempts), "request_id", "left").join(dim, "supervisor_id", "left")
+    faced = (asked.join(entered_ids(attempts), "request_id", "left").join(dim, "supervisor_id", "left")
              .withColumn("known", F.coalesce("known", F.lit(False)))
-             .withColumn("authorised", F.col("known") & F.coalesce(
+             .withColumn("own", requester_is_approver(F.col("requester_id"), F.col("supervisor_id")))
+             .withColumn("authorised", F.col("known") & ~F.col("own") & F.coalesce(
                  may_approve(F.col("can_approve_roles"), F.col("user_role")), F.lit(False))))
 
     # Only attempts of a request whose supervisor exists and may approve the role touch the counter.
@@ -160,6 +161,7 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
                     F.when(sup.isNull(), NO_ID)
                     .when(~F.col("known"), about(NOT_FOUND))
                     .when(F.col("locked_before"), about(LOCKED))
+                    .when(F.col("own"), OWN_REQUEST)
                     .when(~F.col("authorised"), F.concat(F.lit(NOT_AUTHORISED), "user_role"))
                     .when(locked_now, about(LOCKED_NOW))
                     .when(pin_ok, "APPROVED").otherwise(UNVERIFIED))
@@ -194,7 +196,7 @@ def _within_tries(tried: DataFrame, supervisors: DataFrame, max_key_rows: int) -
             .filter(F.col("no") <= F.coalesce("tries", F.lit(policy.MAX_FAILED_ATTEMPTS))).drop("tries"), "kept")
         was, now = place.select("request_id", "no"), again.select("request_id", "no")
         if was.exceptAll(now).isEmpty() and now.exceptAll(was).isEmpty():
-            return decided.drop("no")
+            return decided.withColumn("position", F.col("no").cast("long")).drop("no")
         kept = again
 
 

@@ -39,9 +39,11 @@ def scan_injection(df: DataFrame, text_col: str, when=None) -> DataFrame:
             .withColumn("rule_description", injection.rule_description(F.col("rule"))))
 
 
-def content_guard(requests: DataFrame, query_col: str = "query") -> DataFrame:
-    """The two controls that need only the row: flag and block_reason before rate limiting."""
-    checked = scan_injection(sanitise(requests, query_col), "clean_query", F.col("valid"))
+def content_guard(requests: DataFrame, query_col: str = "query", when=None) -> DataFrame:
+    """The two controls that need only the row: flag and block_reason before rate limiting. Rules are
+    tried only where `when` holds."""
+    scanned = F.col("valid") if when is None else F.col("valid") & when
+    checked = scan_injection(sanitise(requests, query_col), "clean_query", scanned)
     return (checked
             .withColumn("flag", F.when(~F.col("valid"), "INVALID_QUERY")
                         .when(F.col("rule").isNotNull(), "INJECTION").otherwise(""))
@@ -54,8 +56,8 @@ def content_guard(requests: DataFrame, query_col: str = "query") -> DataFrame:
 
 def gated_guard(requests: DataFrame) -> DataFrame:
     """Role gate and content guard. An unknown role is not judged further and keeps its raw query."""
-    checked = content_guard(role_gate(requests))
     known = F.col("allowed_fields").isNotNull()
+    checked = content_guard(role_gate(requests), when=known)
     return (checked
             .withColumn("clean_query", F.when(known, F.col("clean_query")).otherwise(F.col("query")))
             .withColumn("flag", F.when(known, F.col("flag")).otherwise(""))
@@ -71,14 +73,14 @@ def rate_reason(role: str, count: str | int = policy.RATE_LIMIT):
 
 
 def verdict(requests: DataFrame, prior_log: DataFrame | None = None) -> DataFrame:
-    """(request_id, user_role, ts[, has_vector], flag, block_reason, allowed_fields, role_error,
+    """(request_id, user_role, ts[, has_vector, requester_id], flag, block_reason, allowed_fields, role_error,
     proceeds), one row per request and no query text.
 
     Order: unknown role, then invalid query, then injection, then rate limit. Only requests that
     pass the first three reach the limiter, so attack traffic never uses up a role's allowance.
     Texts are judged where they are read; only this narrow table is shuffled and written.
     """
-    kept = [c for c in ("request_id", "user_role", "ts", "has_vector") if c in requests.columns]
+    kept = [c for c in ("request_id", "user_role", "ts", "has_vector", "requester_id") if c in requests.columns]
     # Two branches read this, and a filter on `flag` pushed below it would repeat all the patterns.
     checked = materialise(
         gated_guard(requests.select(*kept, "query")).select(*kept, "flag", "block_reason"), "checked")

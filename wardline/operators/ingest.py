@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from wardline import schemas
 from wardline.functions.text import strip
+from wardline.session import materialise
+from wardline.sources.tables import full_refresh
 
 # sheet header -> stored column, in the declared order
 HEADERS = dict(zip(schemas.PERSONNEL_SOURCE.names, schemas.EMPLOYEE_DATA.names, strict=True))
@@ -97,3 +99,18 @@ def ingest_counts(normalised: DataFrame, embedded: DataFrame) -> DataFrame:
         F.count_if(F.col("embedding").isNull()).alias("embed_errors"))
     return stored.unionByName(vectors, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in ("stored", "embedded", "skipped", "embed_errors")])
+
+
+def ingest_job(raw: DataFrame, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], database: str, root: str,
+               null_text: str | None = None) -> DataFrame:
+    """Replace employee_data and employee_embeddings of a database by a sheet's rows; returns the counts.
+
+    The model is asked once per row: its vectors are written before they are counted and stored. Both
+    tables change only after both are written.
+    """
+    normalised = materialise(normalise(raw, null_text), "normalised")
+    employees = split_by_key(normalised)[0]
+    embedded = materialise(embed_with(embed_content(employees), "content", model), "embedded")
+    full_refresh({f"{database}.employee_data": employees,
+                  f"{database}.employee_embeddings": embedded.filter("embedding IS NOT NULL")}, root)
+    return ingest_counts(normalised, embedded)

@@ -52,11 +52,12 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def recent_history(prior_log: DataFrame, limit: int) -> DataFrame:
+def recent_history(prior_log: DataFrame, limit: int, since_us: int) -> DataFrame:
     """The newest `limit` allowed log rows per role: older ones cannot decide anything, because an
-    attempt is blocked iff the limit-th newest allowed one is inside its window."""
+    attempt is blocked iff the limit-th newest allowed one is inside its window. Rows before since_us,
+    the start of the earliest window, are pruned by the scan."""
     newest = Window.partitionBy("user_role").orderBy(F.desc("us"), F.desc("request_id"))
-    return (prior_log.filter(~F.col("blocked"))
+    return (prior_log.filter(~F.col("blocked") & (F.col("timestamp") >= F.timestamp_micros(F.lit(since_us))))
             .select("user_role", micros("timestamp").alias("us"), "request_id")
             .withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit).drop("_n"))
 
@@ -88,11 +89,13 @@ def rate_limit(attempts: DataFrame, prior_log: DataFrame | None = None,
         "request_id", "user_role", micros().alias("us"), F.lit(True).alias("blocked"))
     attempts = attempts.filter(placed)
     rows = attempts.select("user_role", micros().alias("us"), "request_id", F.lit(False).alias("seed"))
-    if prior_log is not None:
-        rows = rows.unionByName(
-            recent_history(prior_log, lim.limit).withColumn("seed", F.lit(True)))
+    bucket = F.floor(F.col("us") / lim.window_us)
     # every branch below reads these narrow rows, so they are written once
-    rows = materialise(rows.withColumn("bucket", F.floor(F.col("us") / lim.window_us)), "attempts")
+    rows = materialise(rows.withColumn("bucket", bucket), "attempts")
+    earliest = rows.agg(F.min("us")).first()[0] if prior_log is not None else None
+    if earliest is not None:
+        history = recent_history(prior_log, lim.limit, earliest - lim.window_us).withColumn("seed", F.lit(True))
+        rows = rows.unionByName(materialise(history.withColumn("bucket", bucket), "history"))
     buckets = materialise(busy_runs(rows, lim), "busy-runs")
 
     mark = buckets.select("user_role", "bucket", "run", "run_rows")
@@ -260,8 +263,10 @@ def attempts_trailing(attempts: DataFrame, window_us: int = policy.RATE_WINDOW_U
     """
     second = 1_000_000
     keyed = attempts.withColumn("us", micros())
-    times = (keyed.filter(F.col("us").isNotNull() & F.col("user_role").isNotNull()).groupBy("user_role", "us").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("bucket", F.floor(F.col("us") / window_us)))
+    # read by three branches
+    times = materialise(
+        keyed.filter(F.col("us").isNotNull() & F.col("user_role").isNotNull()).groupBy("user_role", "us")
+        .agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("us") / window_us)), "times")
     # each time appears as a point in its own bucket and as a probe in the one before
     points = times.select(
         "user_role", "us", F.explode(F.array(

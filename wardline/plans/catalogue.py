@@ -42,7 +42,9 @@ def src_personnel(spark, d):
 
 @query
 def scan_embeddings(spark, d):
-    return m.embeddings(spark, d).select(
+    path = new_path(spark, "employee_embeddings")
+    m.embeddings(spark, d).withColumn("content", F.lit("")).select(*schemas.EMPLOYEE_EMBEDDINGS.names).write.parquet(path)
+    return t.scan_embeddings(spark, path).select(
         "nric", F.size("embedding").cast("long").alias("dims"),
         vectors.round_score(vectors.norm(F.col("embedding"))).alias("norm"))
 
@@ -111,28 +113,33 @@ def embed_with(spark, d):
     return ingest.embed_with(ingest.ingest(m.personnel(spark, d))[2], "content", letter_counts)
 
 
+def _fresh_tables(spark):
+    """(folder, database) of newly made empty tables."""
+    root, database = new_path(spark, "tables"), f"wardline_{uuid.uuid4().hex}"
+    t.ensure_tables(spark, root, database)
+    return root, database
+
+
 @query
 def ingest_counts(spark, d):
-    normalised = ingest.normalise(m.personnel(spark, d))
-    contents = ingest.embed_content(ingest.split_by_key(normalised)[0])
-    return ingest.ingest_counts(normalised, ingest.embed_with(contents, "content", letter_counts))
+    """The whole ingestion: both tables written, the model asked once per row."""
+    root, database = _fresh_tables(spark)
+    return ingest.ingest_job(m.personnel(spark, d), letter_counts, database, root)
 
 
 @query
 def full_refresh(spark, d):
     """Written twice: the second write replaces the first."""
-    path = new_path(spark, "employee_data")
+    root, database = _fresh_tables(spark)
     for _ in range(2):
-        t.full_refresh(ingest.ingest(m.personnel(spark, d))[0], path)
-    return spark.read.schema(schemas.EMPLOYEE_DATA).parquet(path)
+        t.full_refresh({f"{database}.employee_data": ingest.ingest(m.personnel(spark, d))[0]}, root)
+    return spark.table(f"{database}.employee_data")
 
 
 @query
 def ensure_tables(spark, d):
     """Created twice without effect, then filled; a keyless row is refused."""
-    root = new_path(spark, "tables")
-    database = f"wardline_{uuid.uuid4().hex}"
-    t.ensure_tables(spark, root, database)
+    root, database = _fresh_tables(spark)
     sheet = ingest.normalise(m.personnel(spark, d))
     t.append(sheet, f"{root}/employee_data", schemas.EMPLOYEE_DATA)
     t.ensure_tables(spark, root, database)
@@ -313,9 +320,7 @@ def policy_any(spark, d):
     """For each stored field: does any role seen in the requests allow it?"""
     seen = m.requests(spark, d).groupBy("user_role").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "allowed_fields", F.coalesce(policy.allowed_fields(F.col("user_role")), policy.string_array([])))
-    return seen.agg(*[
-        F.coalesce(F.bool_or(F.array_contains("allowed_fields", f)), F.lit(False)).alias(f)
-        for f in policy.EMPLOYEE_FIELDS], F.sum("n").alias("n_requests"))
+    return seen.agg(*[policy.any_allows(f).alias(f) for f in policy.EMPLOYEE_FIELDS], F.sum("n").alias("n_requests"))
 
 
 @query
@@ -415,8 +420,9 @@ def lockout(spark, d):
 
 @query
 def pin_remaining(spark, d):
-    return gate.lockout(m.event_pins(spark, d)).filter("counted").select(
-        "supervisor_id", "request_id", "remaining", F.col("seq").alias("attempt_position"))
+    decided = gate.gate(_asked(spark, d), m.pin_attempts(spark, d), m.supervisors(spark, d))[1]
+    return decided.filter("counted").select(
+        "supervisor_id", "request_id", "remaining", F.col("position").alias("attempt_position"))
 
 
 @query
@@ -507,7 +513,8 @@ def audit_link(spark, d):
 
 @query
 def output_view(spark, d):
-    return governed.output_view(_governed(spark, d).released)
+    out = _governed(spark, d)
+    return governed.output_view(out.released, out.audit)
 
 
 # ---- streaming: each drains the table as a stream and returns what the sink holds ----

@@ -32,7 +32,8 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
                        where: Column | None = None, fallback_contact: str = "",
                        typed: bool = False) -> Outcome:
     """Decide every request. typed: requests were typed in by hand, so roles are stripped and an
-    empty query becomes the stock question.
+    empty query becomes the stock question. A requester_id column keeps a requester from approving
+    the own request.
 
     Denied requests leave before the vector search. Until a request is approved only keys are
     matched; field values are read for approved requests alone, and a field that no role may see
@@ -61,7 +62,8 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
              .withColumn("triggered", F.col("proceeds") & access.needs_review(
                  F.col("allowed_fields"), F.coalesce("records_returned", F.lit(0)))))
     facts = materialise(facts, "facts")
-    under_review = facts.filter("triggered").select("request_id", "user_role")
+    under_review = facts.filter("triggered").select(
+        *[c for c in ("request_id", "user_role", "requester_id") if c in facts.columns])
     decisions, tried = gate.gate(under_review, attempts, supervisors)
     # the only place where query texts are shuffled
     log = materialise(audit.build(
@@ -87,11 +89,17 @@ def limited(facts: DataFrame) -> DataFrame:
             .select("request_id", "user_role", "ts", (F.col("flag") == "RATE_LIMITED").alias("blocked")))
 
 
-def output_view(released: DataFrame) -> DataFrame:
+def output_view(released: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Released records as shown: numbered from 1, labelled, internal columns hidden, with the
-    record-level low-similarity mark (rounded score, strict)."""
-    return released.select(
+    record-level low-similarity mark (rounded score, strict). With the audit rows, every refused
+    request has one row that holds the refusal in `message` and no record."""
+    shown = released.select(
         "request_id", "record_no", *[c for c in released.columns if c in policy.EMPLOYEE_FIELDS],
         F.col("_similarity_score").alias("similarity_score"),
         (F.col("_similarity_score") < policy.LOW_SIMILARITY).alias("low_similarity"),
-        F.lit("[AI-GENERATED]").alias("label"))
+        F.lit("[AI-GENERATED]").alias("label"), F.lit(None).cast("string").alias("message"))
+    if log is None:
+        return shown
+    refused = log.filter(F.col("decision") != audit.APPROVED).select(
+        "request_id", F.concat(F.lit("ACCESS DENIED: "), "error").alias("message"))
+    return shown.unionByName(refused, allowMissingColumns=True)

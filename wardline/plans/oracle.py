@@ -271,16 +271,13 @@ _view("event_pins", [], """SELECT 'SUP' || lpad(CAST(user_id AS VARCHAR), 6, '0'
     lpad(CAST(event_id AS VARCHAR), 12, '0') AS request_id, 1 AS attempt_no, epoch_us(ts) AS us,
     event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')""")
 _view("event_faced", ["event_pins", "supervisors"], """SELECT p.*, coalesce(s.is_locked, false) AS was_locked,
-    coalesce(s.failed_attempts, 0) AS failed_attempts FROM event_pins p LEFT JOIN supervisors s USING (supervisor_id)""")
+    coalesce(s.failed_attempts, 0) AS failed_attempts, s.supervisor_id IS NOT NULL AS known FROM event_pins p LEFT JOIN supervisors s USING (supervisor_id)""")
 _view("event_order", ["event_faced"], """SELECT *, row_number() OVER (PARTITION BY supervisor_id
-    ORDER BY us, request_id) AS n FROM event_faced WHERE NOT was_locked AND failed_attempts < 3""")
+    ORDER BY us, request_id) AS n FROM event_faced WHERE known AND NOT was_locked AND failed_attempts < 3""")
 _machine("event_order", "event_machine")
 _view("event_decided", ["event_machine", "event_faced"], """SELECT supervisor_id, request_id, us, ok, failed_after, locks, counted
     FROM event_machine UNION ALL
-    SELECT supervisor_id, request_id, us, ok, NULL, false, false FROM event_faced WHERE was_locked OR failed_attempts >= 3""")
-_view("bare_order", ["event_pins"], """SELECT *, CAST(0 AS BIGINT) AS failed_attempts, row_number() OVER (
-    PARTITION BY supervisor_id ORDER BY us, request_id) AS n FROM event_pins""")
-_machine("bare_order", "bare_machine")
+    SELECT supervisor_id, request_id, us, ok, NULL, false, false FROM event_faced WHERE was_locked OR failed_attempts >= 3 OR NOT known""")
 
 # ---- the governed plan ----
 _view("reached", ["guarded"], """SELECT * FROM guarded WHERE role_error IS NULL AND flag = '' AND q IS NOT NULL""")
@@ -314,7 +311,7 @@ _view("audit", ["guarded", "reached_facts", "decided_review"], rf"""SELECT g.req
 _view("released", ["shown", "audit"], """SELECT s.* FROM shown s JOIN audit a USING (request_id)
     WHERE a.decision = 'APPROVED'""")
 
-_RECURSIVE = {"limited", "event_limited", "machine_all", "machine_review", "event_machine", "bare_machine"}
+_RECURSIVE = {"limited", "event_limited", "machine_all", "machine_review", "event_machine"}
 
 
 def _needed(names: list[str]) -> list[str]:
@@ -436,8 +433,8 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "pin_verify": (["tries", "supervisors"], """SELECT t.request_id, t.attempt_no, coalesce(sha256(t.pin) = s.hashed_pin, false) AS ok
         FROM tries t LEFT JOIN supervisors s USING (supervisor_id)"""),
     "lockout": (["event_decided"], "SELECT supervisor_id, request_id, ok, failed_after, locks, counted FROM event_decided"),
-    "pin_remaining": (["bare_machine"], """SELECT supervisor_id, request_id, 3 - failed_after AS remaining,
-        n AS attempt_position FROM bare_machine WHERE counted"""),
+    "pin_remaining": (["machine_all"], """SELECT supervisor_id, request_id, 3 - failed_after AS remaining,
+        row_number() OVER (PARTITION BY request_id ORDER BY attempt_no) AS attempt_position FROM machine_all WHERE counted"""),
     "supervisor_state": (["supervisors", "event_decided"], """SELECT s.supervisor_id,
         coalesce(d.locked, s.is_locked) AS is_locked,
         CAST(coalesce(d.failed, s.failed_attempts) AS BIGINT) AS failed_attempts,
@@ -458,9 +455,11 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         FROM audit GROUP BY user_role, decision, hitl_decision"""),
     "audit_link": (["audit", "limited"], """SELECT request_id, decision, blocked, a.request_id IS NOT NULL AS in_audit,
         l.request_id IS NOT NULL AS in_ratelog FROM audit a FULL JOIN limited l USING (request_id)"""),
-    "output_view": (["released"], """SELECT request_id, record_no, nric, name, employment, ethnicity, medical_info,
+    "output_view": (["released", "audit"], """SELECT request_id, record_no, nric, name, employment, ethnicity, medical_info,
         financial_info, _similarity_score AS similarity_score, _similarity_score < 0.3 AS low_similarity,
-        '[AI-GENERATED]' AS label FROM released"""),
+        '[AI-GENERATED]' AS label, NULL::VARCHAR AS message FROM released
+        UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'ACCESS DENIED: ' || error
+        FROM audit WHERE decision <> 'APPROVED'"""),
     "governed_retrieval": (["audit", "released"], f"""SELECT {_AUDIT_COLS}, coalesce(n_released, 0) AS n_released,
         coalesce(n_nric, 0) AS n_nric, coalesce(n_financial, 0) AS n_financial, coalesce(n_medical, 0) AS n_medical, best_score
         FROM audit LEFT JOIN (SELECT request_id, count(*) AS n_released, count(nric) AS n_nric,

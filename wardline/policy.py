@@ -65,7 +65,11 @@ def denied_fields(policy: DataFrame, all_fields: Sequence[str] = EMPLOYEE_FIELDS
         "role", F.array_except(string_array(all_fields), "allowed_fields").alias("denied_fields"))
 
 
+def any_allows(field: str) -> Column:
+    """Aggregate over role rows: does any of them allow this field?"""
+    return F.coalesce(F.bool_or(F.array_contains("allowed_fields", field)), F.lit(False))
+
+
 def policy_any(policy: DataFrame, field: str) -> DataFrame:
     """One row: does any role allow this field?"""
-    return policy.agg(F.coalesce(
-        F.bool_or(F.array_contains("allowed_fields", field)), F.lit(False)).alias("any_role_allows"))
+    return policy.agg(any_allows(field).alias("any_role_allows"))

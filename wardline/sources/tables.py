@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -10,16 +13,6 @@ from wardline import schemas
 from wardline.functions import text
 from wardline.session import materialise
 
-# --- fixed values: ids and roles of the second-person gate (supervisor, name, email, PIN, roles) ---
-SEED_SUPERVISORS = [
-    ("SUP001", "Ilse Varga", "ilse.varga@example.com", "1234", ["HR_Admin", "Medical_Lead"]),
-    ("SUP002", "Tomas Okoro", "tomas.okoro@example.com", "5678", ["Finance_Lead"]),
-    ("SUP003", "Nadia Brandt", "nadia.brandt@example.com", "9999",
-     ["HR_Admin", "Medical_Lead", "Finance_Lead", "General_Staff"]),
-]
-SEED_MANAGERS = [("MGR001", "Pavel Lindqvist", "duty.manager@example.com", True)]
-# --- end of fixed values ---
-
 
 def read_personnel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The personnel sheet, all cells as text. A missing file fails the read.
@@ -121,9 +114,22 @@ def ensure_tables(spark: SparkSession, root: str, database: str = "default") ->
     return names
 
 
-def full_refresh(df: DataFrame, path: str) -> None:
-    """Replace a table's rows; readers see the old rows until the new ones are complete."""
-    df.write.mode("overwrite").parquet(path)
+def full_refresh(frames: dict[str, DataFrame], root: str) -> None:
+    """Replace the rows of catalog tables (database.table -> rows with at least its columns).
+
+    All rows are written to fresh folders under root before any table points to its new one, so a
+    failed write leaves every table with its old rows, and a reader that has begun keeps its files. Old
+    folders are left to the storage's expiry rule.
+    """
+    moves = {}
+    for name, df in frames.items():
+        schema = df.sparkSession.table(name).schema
+        moves[name] = f"{root}/{name.rpartition('.')[2]}-{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(moves[name])
+    for name, path in moves.items():
+        spark = frames[name].sparkSession
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
 
 
 def with_request_ids(requests: DataFrame) -> DataFrame:
@@ -163,12 +169,14 @@ def hash_supervisors(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("locked_by_session"))
 
 
-def seed_dims(spark: SparkSession, manager_email: str = "") -> tuple[DataFrame, DataFrame]:
-    """The stock supervisors and the manager who receives escalations."""
+def seed_dims(spark: SparkSession, supervisors: Sequence[tuple], managers: Sequence[tuple],
+              manager_email: str = "") -> tuple[DataFrame, DataFrame]:
+    """Both dimensions from configured rows: (id, name, email, pin, roles) and (id, name, email, may
+    unlock). manager_email, where given, receives all escalations."""
     raw = spark.createDataFrame(
-        SEED_SUPERVISORS, "supervisor_id string, name string, email string, pin string, roles array<string>")
-    managers = [(i, n, manager_email or e, u) for i, n, e, u in SEED_MANAGERS]
-    return hash_supervisors(raw), spark.createDataFrame(managers, schemas.MANAGERS)
+        supervisors, "supervisor_id string, name string, email string, pin string, roles array<string>")
+    reached = [(i, n, manager_email or e, u) for i, n, e, u in managers]
+    return hash_supervisors(raw), spark.createDataFrame(reached, schemas.MANAGERS)
 
 
 def verify_readback(supervisors: DataFrame, managers: DataFrame) -> tuple[DataFrame, DataFrame]:

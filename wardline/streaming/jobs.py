@@ -25,7 +25,6 @@ from wardline.plans.governed import governed_retrieval
 from wardline.sources.tables import manager_contact
 
 LATE, LATE_REASON = "LATE", "Request arrived after later ones of its role had been decided."
-COUNTERS = ["supervisor_id", "failed_attempts", "is_locked", "locked_by_session"]
 HIGH_WATER = "user_role string, high_us long"
 
 
@@ -114,19 +113,15 @@ def lockout_stream(pins: DataFrame, supervisors: DataFrame, managers: DataFrame,
         spark = batch.sparkSession
         before = supervisors if epoch == 0 else spark.read.schema(supervisors.schema).parquet(
             f"{root}/supervisors/epoch={epoch - 1}")
-        # counters of every id ever tried, the table's own or not
-        counters = before.select(*COUNTERS) if epoch == 0 else spark.read.parquet(
-            f"{root}/counters/epoch={epoch - 1}")
-        _epoch(gate.lockout(batch, counters), root, "attempts", epoch)
+        _epoch(gate.lockout(batch, before), root, "attempts", epoch)
         decided = spark.read.parquet(f"{root}/attempts/epoch={epoch}")
-        _epoch(gate.supervisor_state(counters, decided, "full"), root, "counters", epoch)
         _epoch(gate.supervisor_state(before, decided), root, "supervisors", epoch)
         about = [c for c in ("user_role", "query") if c in batch.columns]
         locks = (decided.filter("locks").withColumnRenamed("failed_after", "failed_attempts")
                  .join(batch.select("supervisor_id", "request_id", "attempt_no", *about),
                        ["supervisor_id", "request_id", "attempt_no"])
                  .join(before.select("supervisor_id", F.col("name").alias("supervisor_name")),
-                       "supervisor_id"))  # an id that nobody holds raises no alert
+                       "supervisor_id"))
         for c in {"user_role", "query"} - set(about):
             locks = locks.withColumn(c, F.lit(""))
         _epoch(gate.escalations(locks, manager_contact(managers, fallback_contact)), root, "outbox", epoch)
