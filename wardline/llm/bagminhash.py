@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import bounded_batches, mix, pieces, shingle_counts, texts
@@ -125,7 +125,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
 def _texts(involved: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text of the given nodes."""
     wanted = involved.join(nodes, "node").select("node", "digest", "first_id")
-    found = (docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    found = (docs.select("doc_id", "text", digest_of(F.col("text")).alias("digest"))
              .join(wanted, "digest").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
              .select("node", "text"))
     # Repeated rows of a document give its text more than once.
@@ -219,8 +219,18 @@ def _close_pairs(split: DataFrame, nodes: DataFrame, found: DataFrame, threshold
             .mapInArrow(run, "a long, b long"))
 
 
+def digest_of(text: Column) -> Column:
+    """The digest that stands for a text; null reads as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, copies: one row per row of docs."""
+    return classify(docs, threshold).drop("digest", "comp")
+
+
+def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """near_duplicates with the digest of the row's text and comp, which tells classes apart where ids do not."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -256,5 +266,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         nodes.select("node", "digest", "first_id", "copies").join(comps, "node", "left")
         .withColumn("comp", F.coalesce("comp", "node")), "classes")
     sizes = classes.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = classes.join(sizes, "comp").select("digest", "class_id", "class_size", "copies")
-    return described.select("doc_id", "digest").join(named, "digest").drop("digest")
+    named = classes.join(sizes, "comp").select("digest", "comp", "class_id", "class_size", "copies")
+    return described.select("doc_id", "digest").join(named, "digest").select(
+        "doc_id", "class_id", "class_size", "copies", "digest", "comp")

@@ -15,6 +15,8 @@ rows are judged each alike. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,12 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms of every row."""
+def described(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang, the base counts and the two histograms of every row, and its columns named in carry."""
+    extra = [c for c in carry if c != "lang"]
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     split = split.withColumn("words", F.array_remove(F.split("text", _SPACE), ""))
     n = F.size("words")
     # A window's hash over its place: equal windows are neighbours once sorted. The place takes as many bits as
@@ -89,6 +92,7 @@ def described(docs: DataFrame) -> DataFrame:
         F.array(*[c.cast("long") for c in classes], F.length("text").cast("long")).alias("classes"),
         F.array(*[(F.size("places") - F.size(F.array_remove("places", i + 1))).cast("long") for i in range(len(COMMON))],
                 n.cast("long")).alias("common"),
+        *extra,
     ).withColumn("classes", _with_rest("classes")).withColumn("common", _with_rest("common"))
 
 
@@ -126,10 +130,11 @@ def references(facts: DataFrame) -> DataFrame:
                        F.array(*[f"b{i}" for i in range(n_common)]).alias("ref_common"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the distances."""
+def judge(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, the distances, and
+    the row's columns named in carry."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    facts = materialise(described(docs).withColumn("base_failed", base), "quality")
+    facts = materialise(described(docs, carry).withColumn("base_failed", base), "quality")
     joined = facts.join(references(facts), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     judged = (joined.withColumn("chars_distance", F.coalesce(distance(F.col("classes"), F.col("ref_classes")), F.lit(0.0)))
               .withColumn("words_distance", F.coalesce(distance(F.col("common"), F.col("ref_common")), F.lit(0.0))))
@@ -137,4 +142,4 @@ def judge(docs: DataFrame) -> DataFrame:
         (F.col("n_words") >= GUARD_WORDS) & (F.col("words_distance") > WORDS_LIMIT))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", (~F.col("base_failed") & ~far).alias("kept"),
-                         "chars_distance", "words_distance")
+                         "chars_distance", "words_distance", *carry)

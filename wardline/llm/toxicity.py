@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -222,26 +222,41 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r[2:] for r in rows], {y: total.get(y, 0) / max(1, n[y]) for y in n})
 
 
+def _scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
+    """The scores of a column of texts; to be called in a worker."""
+    if not model.weights:
+        return lambda column: np.full(len(column), model.prior)
+    mark = zlib.crc32(model.toxic + model.ordinary)
+    held = worker_memo("toxicity", dict)
+    if mark not in held:
+        held.clear()
+        held[mark] = Distances(model)
+    return lambda column: scores(features(column, held[mark]), model.weights)
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.weights:
-            mark = zlib.crc32(model.toxic + model.ordinary)
-            held = worker_memo("toxicity", dict)
-            if mark not in held:
-                held.clear()
-                held[mark] = Distances(model)
+        score = _scorer(model)
         for b in pieces(batches):
-            if model.weights:
-                found = scores(features(b.column(1), held[mark]), model.weights)
-            else:
-                found = np.full(b.num_rows, model.prior)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs scored under 0.5, whole."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
+        for b in pieces(batches):
+            yield b.filter(pa.array(score(b.column(at).cast(pa.string())) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def with_verdict(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
