@@ -3,8 +3,8 @@
 Base kinds, leftmost non-overlapping matches each: assign (a key word, `:` or `=`, a value of 8 or more), access
 (AKIA and 12 or more of A-Z0-9), hex (32 or more of 0-9a-f).
 
-The method adds kind markov: tokens of TOKEN_CHARS or more from [A-Za-z0-9+/_=-] that overlap no base span and
-whose log-likelihood ratio between the model of random strings and the model of ordinary identifiers is at
+The method adds kind markov: stretches of TOKEN_CHARS or more from [A-Za-z0-9+/_=-], between what else the text
+holds and the base spans (which are cut out of a token; what is left of it on either side is scored), whose log-likelihood ratio between the model of random strings and the model of ordinary identifiers is at
 least MIN_RATIO. Both are first-order chains over the alphabet with a boundary state, add-one smoothed.
 They are trained from labelled samples: random are the values of base matches and renderings (hex, base64,
 upper-case) of digests of sampled texts; ordinary are the tokens of sampled texts outside base matches and
@@ -28,7 +28,7 @@ ASSIGN = ("(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
-TOKEN_CHARS = 20
+TOKEN_CHARS = 12
 TOKEN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{TOKEN_CHARS},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0 is the boundary
@@ -82,6 +82,20 @@ def base_spans(text: Column) -> Column:
                     F.when(text.contains("AKIA"), _found(text, ACCESS, 1)).otherwise(none), _found(text, HEX, 2))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of every span, so that places stay the same."""
+
+    def step(a: Column, s: Column) -> Column:
+        start = F.greatest(a["pos"], s["start"])
+        gap = F.substr(text, a["pos"] + 1, start - a["pos"])
+        return F.when(s["end"] > a["pos"], F.struct(s["end"].alias("pos"), F.concat(
+            a["out"], gap, F.repeat(F.lit(" "), s["end"] - start)).alias("out"))).otherwise(a)
+
+    masked = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step,
+                         lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1, F.length(text) - a["pos"])))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
+
+
 def count_pairs(samples: DataFrame) -> DataFrame:
     """label, pair, n: how often each pair of states follows in the tokens of a label.
 
@@ -140,10 +154,9 @@ def scan(docs: DataFrame, table: list[float], text: str = "text", name: str = "s
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     based = docs.withColumn(name, base_spans(whole))
     if table:
-        tokens = _found(whole, TOKEN, 3, extra=lambda hit: ratio(hit, table) >= MIN_RATIO)
-        free = F.filter(tokens, lambda t: ~F.exists(
-            F.col(name), lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-        based = based.withColumn(name, F.concat(name, free))
+        rest = f"{name}_rest"
+        free = _found(F.col(rest), TOKEN, 3, extra=lambda hit: ratio(hit, table) >= MIN_RATIO)
+        based = based.withColumn(rest, _blanked(whole, F.col(name))).withColumn(name, F.concat(name, free)).drop(rest)
     return based.withColumn(name, F.array_sort(name))
 
 
