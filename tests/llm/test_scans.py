@@ -123,6 +123,22 @@ def test_toxicity(spark, small, odd, none):
     assert toxicity.train_on(none, labels.limit(0)).weights == []
 
 
+def test_toxicity_recall_beside_a_very_long_text(spark, small):
+    path = small.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{path}/{n}.parquet").select("doc_id", c) for n, c in (("documents", "text"), ("labels", "toxic")))
+    # An ordinary row whose crc32 is small, so that it comes early in any order by it.
+    first = min((i for i in range(-9999, 0) if zlib.crc32(str(i).encode()) % 5), key=lambda i: zlib.crc32(str(i).encode()))
+    few = labels.sample(0.4, seed=1)
+    known = few.union(spark.createDataFrame([(first, 0)], few.schema))
+    text = "an ordinary sentence of some words " * 380_000
+    with_long = docs.union(spark.createDataFrame([(first, text)], docs.schema))
+    model = toxicity.train_on(with_long, known)
+    assert model.weights
+    got = toxicity.with_verdict(toxicity.score_documents(docs.join(few, "doc_id", "left_semi"), model)).join(few, "doc_id")
+    held = got.filter("held_out").collect()
+    assert sum(r["predicted"] for r in held if r["toxic"]) / sum(1 for r in held if r["toxic"]) > 0.5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<|\\>im_end\n an", max_size=40))
 def test_escapes_can_be_undone(text):

@@ -7,8 +7,9 @@ text is described by the TOP largest distances of its different windows, and a l
 fitted on labelled rows, gives the score; 0.5 is the calibrated threshold.
 
 Training uses a sample of the labelled rows whose crc32(doc_id) mod 5 is not 0: at most SAMPLE_ROWS of each
-label, chosen by a hash of the id, and SAMPLE_BYTES of text together. A third of it is kept from the
-dictionaries and fits the logistic model, weighted back to the labels' true shares. The toxic dictionary is
+label, chosen by a hash of the id, whatever their length. Grams, windows and distances are counted in Spark
+jobs, and counts, at most SAMPLE_WINDOWS / 3 different windows of each label, reach the driver. A third of the
+sample is kept from the dictionaries and fits the logistic model, weighted back to the labels' true shares. The toxic dictionary is
 trained on the windows that share a stretch of GRAM characters found far more often in toxic than in ordinary
 rows, the ordinary one on the windows of ordinary rows.
 
@@ -31,10 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import pieces, worker_memo
+from wardline.llm.common import pieces, texts, worker_memo
+from wardline.session import materialise
 
 SAMPLE_ROWS = {1: 1500, 0: 2500}
-SAMPLE_BYTES = 12 << 20
+SAMPLE_WINDOWS = 600_000
 TOP = 3
 SPAN = 24
 GRAM = 6
@@ -155,45 +157,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
     return beta.tolist()
 
 
-def train(samples: list[tuple[str, int]], shares: dict[int, float] | None = None) -> Model:
-    """samples: (text, 1 if toxic else 0); shares: weight of a row of each label."""
-    shares = shares or {0: 1.0, 1: 1.0}
-    n = Counter(y for _, y in samples)
-    prior = (n[1] * shares.get(1, 1) + 0.5) / (sum(n[y] * shares.get(y, 1) for y in n) + 1) if samples else 0.0
-    if not n[0] or not n[1]:
-        return Model(b"", b"", [], prior)
-    # Every third row of each label is left to the calibration, where there are enough of them.
-    learn, fit, seen = [], [], Counter()
-    for text, y in samples:
-        seen[y] += 1
-        (fit if n[y] >= 6 and seen[y] % 3 == 0 else learn).append((text, y))
-    if len({y for _, y in fit}) < 2:
-        fit = learn
-    words = [(Counter(w for chunk in text.split() for w in windows(chunk)), y) for text, y in learn]
-    rows, found = Counter(y for _, y in words), {0: Counter(), 1: Counter()}
-    for bag, y in words:
-        found[y].update(set().union(*map(_grams, bag)))
-
-    def contrast(g: str) -> float:
-        return math.log((found[1][g] + 0.5) / (rows[1] + 1)) - math.log((found[0][g] + 0.5) / (rows[0] + 1))
-
-    telling = {g for g, k in found[1].items() if k >= min(5, max(2, rows[1] // 4)) and contrast(g) > CONTRAST}
-    toxic = [_framed(w) for bag, y in words if y == 1 for w, k in bag.items() if not telling or _grams(w) & telling
-             for _ in range(k)]
-    ordinary = [_framed(w) for bag, y in words if y == 0 for w, k in bag.items() for _ in range(k)][:600_000]
-    model = Model(_dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES), [], prior)
-    x = features(pa.array([t for t, _ in fit], pa.string()), Distances(model))
-    y = np.array([v for _, v in fit])
-    model.weights = _logistic(x, y, np.array([shares.get(int(v), 1.0) for v in y]))
-    return model
-
-
 def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on the driver from a bounded sample of the labelled training rows."""
+    """Train from a bounded sample of the labelled training rows; their texts stay in the executors."""
     marked = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     total = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -205,21 +174,83 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     ids = picked.collect()
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
-    known = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-             .join(small, "doc_id"))
-    sizes = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["n"]) for r in
-                   known.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect())
-    kept, held = [], 0
-    for _, doc_id, n in sizes:
-        if held + n <= SAMPLE_BYTES:
-            kept.append((doc_id,))
-            held += n
-    few = F.broadcast(spark.createDataFrame(kept, "doc_id long"))
-    rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["toxic"])
-                  for r in known.join(few, "doc_id").dropDuplicates(["doc_id", "text"]).collect())
-    n = Counter(r[3] for r in rows)
-    return train([r[2:] for r in rows], {y: total.get(y, 0) / max(1, n[y]) for y in n})
+    known = materialise(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        .join(small, "doc_id").dropDuplicates(["doc_id", "text"]), "training")
+    found = known.groupBy("doc_id", "toxic").agg(F.count("*").alias("n")).collect()
+    n = Counter()
+    for r in found:
+        n[r["toxic"]] += r["n"]
+    shares = {y: total.get(y, 0) / max(1, n[y]) for y in n}
+    prior = (n[1] * shares.get(1, 1) + 0.5) / (sum(n[y] * shares[y] for y in n) + 1) if found else 0.0
+    if not n[0] or not n[1]:
+        return Model(b"", b"", [], prior)
+    # Every third document of each label is left to the calibration, where there are enough of them.
+    of_label = {y: sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]) for r in found if r["toxic"] == y) for y in (0, 1)}
+    held = {d for y in (0, 1) if len(of_label[y]) >= 6 for _, d in of_label[y][2::3]}
+    fit_on = known.filter(F.col("doc_id").isin(sorted(held)))
+    learn = known.filter(~F.col("doc_id").isin(sorted(held)))
+    if len({y for y in (0, 1) for _, d in of_label[y] if d in held}) < 2:
+        fit_on = learn
+    model = Model(*_dictionaries(learn), [], prior)
+    fit = sorted(described_by(fit_on, model).collect())
+    x, y = np.array([r[1:] for r in fit]), np.array([r[0] for r in fit])
+    model.weights = _logistic(x, y, np.array([shares[int(v)] for v in y]))
+    return model
+
+
+def _counted(learn: DataFrame, of: Callable[[Counter], dict[str, int]], name: str) -> DataFrame:
+    """name, n0, n1: what `of` counts in the windows of the rows of each label, summed over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sums = {0: Counter(), 1: Counter()}
+            for text, y in zip(texts(b.column(0)), b.column(1).to_pylist()):
+                sums[y].update(of(Counter(w for chunk in text.split() for w in windows(chunk))))
+            keys = [(y, k, v) for y in (0, 1) for k, v in sums[y].items()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k.encode("utf-8", "surrogatepass") for _, k, _ in keys], pa.binary()),
+                pa.array([v if y == 0 else 0 for y, _, v in keys], pa.int64()),
+                pa.array([v if y == 1 else 0 for y, _, v in keys], pa.int64())], [name, "n0", "n1"])
+
+    return (learn.select("text", "toxic").mapInArrow(run, f"{name} binary, n0 long, n1 long")
+            .groupBy(name).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
+def _dictionaries(learn: DataFrame) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, from counts over all learning rows."""
+    rows = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    contrast = F.log((F.col("n1") + 0.5) / (rows[1] + 1)) - F.log((F.col("n0") + 0.5) / (rows[0] + 1))
+    grams = _counted(learn, lambda bag: dict.fromkeys(set().union(*map(_grams, bag)), 1), "gram")
+    telling = {bytes(r["gram"]).decode("utf-8", "surrogatepass") for r in grams.filter(
+        (F.col("n1") >= min(5, max(2, rows[1] // 4))) & (contrast > CONTRAST)).select("gram").collect()}
+    toxic = _counted(learn.filter("toxic = 1"), lambda bag: {
+        w: k for w, k in bag.items() if not telling or _grams(w) & telling}, "window").select("window", F.col("n1").alias("n"))
+    ordinary = _counted(learn.filter("toxic = 0"), dict, "window").select("window", F.col("n0").alias("n"))
+    return _dictionary(_samples(toxic), TOXIC_BYTES), _dictionary(_samples(ordinary), ORDINARY_BYTES)
+
+
+def _samples(counts: DataFrame) -> list[bytes]:
+    """Windows as often as counted, scaled down to SAMPLE_WINDOWS in all, the frequent ones before the rare."""
+    most = counts.orderBy(F.col("n").desc(), "window").limit(SAMPLE_WINDOWS // 3).collect()
+    scale = min(1.0, SAMPLE_WINDOWS / max(1, sum(r["n"] for r in most)))
+    framed = [(zlib.crc32(bytes(r["window"]) + b"%d" % i), _framed(bytes(r["window"]).decode("utf-8", "surrogatepass")))
+              for r in most for i in range(max(1, round(r["n"] * scale)))]
+    return [w for _, w in sorted(framed)]
+
+
+def described_by(rows: DataFrame, model: Model) -> DataFrame:
+    """toxic and the TOP distances of every row."""
+    names = [f"d{i}" for i in range(TOP)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(model)
+        for b in pieces(batches):
+            x = features(b.column(0), distances)
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, i]) for i in range(TOP))], ["toxic", *names])
+
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, " + ", ".join(f"{n} double" for n in names))
 
 
 def _scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
