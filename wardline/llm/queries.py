@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import (
-    bagminhash, bytebpe, chat, fingerprints, huffman, licenses, packing, quality, secrets, toxicity,
+    bagminhash, bytebpe, chat, fingerprints, hardneg, huffman, licenses, packing, quality, secrets, toxicity, vafile,
 )
 from wardline.llm.common import table
 
@@ -68,6 +68,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.production(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {
     "op1_secrets": op1_secrets,
     "op2_token_file": op2_token_file,
@@ -79,5 +87,11 @@ REGISTRY = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
+    "op11_topk_search": op11_topk_search,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+SQL: dict[str, str] = {
+    "op4_licenses": licenses.oracle_sql(),
+    "op11_topk_search": vafile.oracle_sql(),
+    "op13_hard_negatives": hardneg.oracle_sql(),
 }
-SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}
