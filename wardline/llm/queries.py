@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import (
-    bagminhash, bytebpe, chat, fingerprints, hardneg, huffman, licenses, packing, quality, secrets, toxicity, vafile,
+    bagminhash, bytebpe, chat, collocations, fingerprints, hardneg, huffman, licenses, packing, quality, secrets, toxicity,
+    vafile,
 )
 from wardline.llm.common import table
 
@@ -72,6 +73,10 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.production(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings"))
 
@@ -88,10 +93,12 @@ REGISTRY = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_fingerprints": op10_fingerprints,
     "op11_topk_search": op11_topk_search,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
     "op11_topk_search": vafile.oracle_sql(),
+    "op12_collocations": collocations.oracle_sql(),
     "op13_hard_negatives": hardneg.oracle_sql(),
 }
