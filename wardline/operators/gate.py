@@ -1,20 +1,20 @@
 """Second-person release gate: authorisation, PIN check, three-strike lockout, escalation.
 
 Requests and PIN attempts are tables; all requests are decided in one plan. Attempts count in the
-order (time, request, attempt number). Within a request, attempts after its first correct
-PIN are ignored. A lock is final until the supervisor table is re-seeded.
+order (time, request, attempt number), repeats of a delivered row once and those without a time first; see `tries`.
+A lock is final until the supervisor table is re-seeded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import policy
 from wardline.functions import text
+from wardline.operators import tries
 from wardline.operators.ordered import MAX_KEY_ROWS, running_marks
 from wardline.operators.ratelimit import micros
-from wardline.session import materialise
 
 # --- fixed values: decision texts of the gate ---
 NO_ID = "DENIED — No supervisor ID entered"
@@ -132,21 +132,19 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
 
     # Only attempts of a request whose supervisor exists and may approve the role touch the counter.
     eligible = faced.filter(F.col("authorised")).select("request_id", "supervisor_id", "hashed_pin")
-    tried = (attempts.select("request_id", "attempt_no", "ts", "pin").join(eligible, "request_id")
-             .withColumn("ok", F.coalesce(
-                 text.pin_hash(F.col("pin")) == F.col("hashed_pin"), F.lit(False)))
-             .drop("pin", "hashed_pin"))
-    first_ok = tried.filter("ok").groupBy("request_id").agg(F.min("attempt_no").alias("ok_no"))
-    tried = (tried.join(first_ok, "request_id", "left")
-             .filter(F.col("ok_no").isNull() | (F.col("attempt_no") <= F.col("ok_no"))).drop("ok_no"))
+    digest = text.pin_hash(F.col("pin"))
+    tried = (attempts.select("request_id", "attempt_no", "ts", digest.alias("digest")).join(eligible, "request_id")
+             .withColumn("ok", F.coalesce(F.col("digest") == F.col("hashed_pin"), F.lit(False)))
+             .withColumn("digest", F.coalesce("digest", F.lit(""))).drop("hashed_pin"))
     # read by the outcomes, the locks, the alerts and the new supervisor table
-    decided = _within_tries(materialise(tried, "tried"), supervisors, max_key_rows)
+    decided = tries.played(tried, supervisors, attempts.count(), max_key_rows)
 
     outcome = decided.filter("counted").groupBy("request_id").agg(
         F.max("ok").alias("pin_ok"), F.max("locks").alias("locked_now"))
-    lock_at = (decided.filter("locks").select(
-        "supervisor_id", F.struct(micros().alias("us"), "request_id", "attempt_no").alias("lock_at")))
-    place = F.struct(F.col("first_us").alias("us"), "request_id", F.col("first_no").alias("attempt_no"))
+    lock_at = decided.filter("locks").select("supervisor_id", F.struct(
+        "seq.us", F.col("seq.request_id"), F.col("seq.attempt_no")).alias("lock_at"))
+    place = F.struct(F.coalesce("first_us", F.lit(tries.NO_TIME)).alias("us"), "request_id",
+                     F.col("first_no").cast("int").alias("attempt_no"))
     sup = F.col("supervisor_id")
 
     def about(texts: tuple[str, str]) -> Column:
@@ -172,41 +170,14 @@ def gate(requests: DataFrame, attempts: DataFrame, supervisors: DataFrame,
     return decisions, decided
 
 
-def _within_tries(tried: DataFrame, supervisors: DataFrame, max_key_rows: int) -> DataFrame:
-    """Decided attempts, each request held to its number of tries.
-
-    A request may try as often as its supervisor's counter leaves when it first tries; a success of
-    another request in between does not give it more. Later tries never happen, which moves the counters
-    after them, so passes repeat until none changes. Each pass settles at least the earliest open
-    request of every supervisor; without interleaved requests the first pass stands.
-    """
-    by_request = Window.partitionBy("request_id").orderBy("attempt_no", "ts")
-    numbered = materialise(tried.withColumn("no", F.row_number().over(by_request)), "numbered")
-    kept = numbered.filter(F.col("no") <= policy.MAX_FAILED_ATTEMPTS)
-    while True:
-        place = kept.select("request_id", "attempt_no", "ts", "no")
-        decided = materialise(
-            lockout(kept.drop("no"), supervisors, max_key_rows=max_key_rows)
-            .join(place, ["request_id", "attempt_no", "ts"]), "decided")
-        # The counter before a first wrong try is one less than after it.
-        allowed = decided.filter((F.col("no") == 1) & F.col("counted") & ~F.col("ok")).select(
-            "request_id", (policy.MAX_FAILED_ATTEMPTS + 1 - F.col("failed_after")).alias("tries"))
-        again = materialise(
-            numbered.join(allowed, "request_id", "left")
-            .filter(F.col("no") <= F.coalesce("tries", F.lit(policy.MAX_FAILED_ATTEMPTS))).drop("tries"), "kept")
-        was, now = place.select("request_id", "no"), again.select("request_id", "no")
-        if was.exceptAll(now).isEmpty() and now.exceptAll(was).isEmpty():
-            return decided.withColumn("position", F.col("no").cast("long")).drop("no")
-        kept = again
-
-
 def escalations(lock_events: DataFrame, contact: DataFrame) -> DataFrame:
     """Outbox rows, one per lockout, addressed to the manager's contact (a one-row table).
 
     lock_events: request_id, ts, user_role, query, supervisor_id, supervisor_name, failed_attempts.
     """
     failed = F.col("failed_attempts").cast("string")
-    sent = F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), ALERT_TIME)
+    sent = F.coalesce(F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), ALERT_TIME),
+                      F.lit("an unrecorded time"))
     body = F.concat(
         F.coalesce("supervisor_name", F.lit("")), F.lit(" ("), F.col("supervisor_id"), F.lit(") may approve nothing more: wrong PINs "),
         failed, F.lit(f" of {policy.MAX_FAILED_ATTEMPTS}.\nThe last one came at "), sent,
