@@ -71,7 +71,8 @@ def _subject(request: str) -> str:
 
 def _alert(request: str, us: str, role: str, query: str, supervisor: str, name: str) -> str:
     return f"""concat({name}, ' (', {supervisor}, ') may approve nothing more: wrong PINs 3 of 3.', chr(10),
-        'The last one came at ', strftime(make_timestamp({us}), '%Y-%m-%d %H:%M:%S'), ' UTC for request ', {request},
+        'The last one came at ', coalesce(strftime(make_timestamp({us}), '%Y-%m-%d %H:%M:%S') || ' UTC', 'an unrecorded time'),
+        ' for request ', {request},
         ' of role ', {role}, ', which is refused; nothing was released for it.', chr(10), 'It asked: "', {query}, '"', chr(10))"""
 
 
@@ -196,14 +197,15 @@ _view("contact", ["managers"], """SELECT coalesce((SELECT email FROM managers WH
 _view("attempts", [], """SELECT conv_id || '-' || turn AS request_id,
     CASE WHEN (conv_id * 3 + turn) % 13 = 0 THEN 'SUP999999'
       ELSE ' sup' || lpad(CAST(who AS VARCHAR), 6, '0') || ' ' END AS entered,
-    n AS attempt_no, (1704067200 + conv_id * 90 + turn * 7 + n) * 1000000 AS us,
+    n AS attempt_no, CASE WHEN (conv_id * 3 + turn + n) % 31 <> 0 THEN (1704067200 + conv_id * 90 + turn * 7 + n
+      + CASE WHEN (conv_id * 3 + turn) % 5 = 1 AND n = 3 THEN 5000 ELSE 0 END) * 1000000 END AS us,
     CASE WHEN (conv_id * 3 + turn + n * 5) % 4 = 0
       THEN lpad(CAST(who * 37 % 10000 AS VARCHAR), 4, '0') ELSE '0000x' END AS pin
     FROM (SELECT *, (conv_id * 7 + turn) % (SELECT count(*) FROM supplier) AS who FROM conversations),
-      (VALUES (1), (2), (3)) AS t(n)
-    WHERE role = 'user' AND (conv_id * 3 + turn) % 11 <> 0 AND ((conv_id * 3 + turn) % 7 <> 0 OR n < 3)""")
+      (VALUES (1), (2), (3)) AS t(n), (VALUES (1), (2)) AS again(d)
+    WHERE (d = 1 OR (conv_id * 3 + turn + n) % 10 = 3) AND role = 'user' AND (conv_id * 3 + turn) % 11 <> 0 AND ((conv_id * 3 + turn) % 7 <> 0 OR n < 3)""")
 _view("tries", ["attempts"], "SELECT *, upper(trim(entered)) AS supervisor_id FROM attempts")
-_view("first_try", ["tries"], "SELECT * FROM tries WHERE attempt_no = 1")
+_view("first_try", ["tries"], "SELECT DISTINCT * FROM tries WHERE attempt_no = 1")
 
 # the gate over a table `facing`(request_id, user_role): all requests, or those under review
 _view("facing_all", ["requests"], "SELECT request_id, user_role FROM requests")
@@ -216,27 +218,40 @@ def _gate(facing: str, tag: str) -> None:
         coalesce(s.is_locked, false) AS was_locked, s.failed_attempts,
         coalesce(list_contains(s.roles, f.user_role), false) AS authorised
         FROM {facing} f LEFT JOIN first_try t USING (request_id) LEFT JOIN supervisors s USING (supervisor_id)""")
-    _view(f"played{tag}", [f"faced{tag}", "tries"], f"""SELECT * FROM (
-        SELECT g.supervisor_id, g.request_id, t.attempt_no, t.us, sha256(t.pin) = g.hashed_pin AS ok,
-          g.was_locked, g.failed_attempts,
-          coalesce(sum(CASE WHEN sha256(t.pin) = g.hashed_pin THEN 1 ELSE 0 END) OVER (
-            PARTITION BY g.request_id ORDER BY t.attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
-        FROM faced{tag} g JOIN tries t USING (request_id) WHERE authorised) WHERE done = 0""")
+    _view(f"entered{tag}", [f"faced{tag}", "tries"], f"""SELECT DISTINCT g.supervisor_id, g.request_id, t.attempt_no, t.us,
+        sha256(t.pin) = g.hashed_pin AS ok, sha256(t.pin) AS digest, g.was_locked, g.failed_attempts
+        FROM faced{tag} g JOIN tries t USING (request_id) WHERE authorised""")
+    _view(f"played{tag}", [f"entered{tag}"], f"""SELECT * FROM (SELECT *,
+          row_number() OVER (PARTITION BY request_id ORDER BY us NULLS FIRST, attempt_no, ok, digest) AS no,
+          coalesce(bool_or(ok) OVER (PARTITION BY request_id ORDER BY us NULLS FIRST, attempt_no, ok, digest
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done
+        FROM entered{tag}) WHERE NOT done AND no <= 3""")
     _view(f"machine_order{tag}", [f"played{tag}"], f"""SELECT *, row_number() OVER (
-        PARTITION BY supervisor_id ORDER BY us, request_id, attempt_no) AS n
+        PARTITION BY supervisor_id ORDER BY us NULLS FIRST, request_id, attempt_no, ok, digest) AS n
         FROM played{tag} WHERE NOT was_locked AND failed_attempts < 3""")
-    _machine(f"machine_order{tag}", f"machine{tag}")
+    # c: the counter; firsts: its value at the first entry of every request so far, which limits its tries
+    _view(f"machine{tag}", [f"machine_order{tag}"], f"""SELECT supervisor_id, n, request_id, attempt_no, no, us, ok,
+          CASE WHEN ok THEN 0 ELSE failed_attempts + 1 END AS c, NOT ok AND failed_attempts + 1 >= 3 AS locks, true AS counted,
+          false AS past, [{{'r': request_id, 'c': failed_attempts}}] AS firsts
+        FROM machine_order{tag} WHERE n = 1
+        UNION ALL
+        SELECT supervisor_id, n, request_id, attempt_no, no, us, ok,
+          CASE WHEN past OR NOT may THEN c0 WHEN ok THEN 0 ELSE c0 + 1 END, may AND NOT past AND NOT ok AND c0 + 1 >= 3,
+          may AND NOT past, past, CASE WHEN no = 1 THEN list_append(firsts, {{'r': request_id, 'c': c0}}) ELSE firsts END
+        FROM (SELECT o.*, m.c AS c0, m.firsts, m.past OR m.locks AS past,
+            o.no = 1 OR o.no <= 3 - list_filter(m.firsts, lambda x: x.r = o.request_id)[1].c AS may
+          FROM machine{tag} m JOIN machine_order{tag} o ON o.supervisor_id = m.supervisor_id AND o.n = m.n + 1)""")
     _view(f"decided{tag}", [f"faced{tag}", f"machine{tag}"], f"""SELECT g.request_id, g.supervisor_id,
         CASE WHEN g.supervisor_id IS NULL THEN 'DENIED — No supervisor ID entered'
           WHEN NOT known THEN 'DENIED — Supervisor ' || g.supervisor_id || ' not found'
-          WHEN was_locked OR row(first_us, g.request_id, 1) > lock_at
+          WHEN was_locked OR row(coalesce(first_us, 0), g.request_id, 1) > lock_at
             THEN 'DENIED — Supervisor ' || g.supervisor_id || ' account is locked'
           WHEN NOT authorised THEN 'DENIED — Supervisor not authorised for role ' || user_role
           WHEN o.locks THEN 'DENIED — Supervisor ' || g.supervisor_id || ' locked after 3 failed attempts'
           WHEN o.ok THEN 'APPROVED' ELSE 'DENIED — PIN verification failed' END AS gate_decision,
         coalesce(o.locks, false) AS locked_now
         FROM faced{tag} g
-        LEFT JOIN (SELECT supervisor_id, min(row(us, request_id, attempt_no)) AS lock_at
+        LEFT JOIN (SELECT supervisor_id, min(row(coalesce(us, 0), request_id, attempt_no)) AS lock_at
                    FROM machine{tag} WHERE locks GROUP BY 1) l ON l.supervisor_id = g.supervisor_id
         LEFT JOIN (SELECT request_id, bool_or(locks) AS locks, bool_or(ok) AS ok
                    FROM machine{tag} WHERE counted GROUP BY 1) o ON o.request_id = g.request_id""")
@@ -433,8 +448,8 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "pin_verify": (["tries", "supervisors"], """SELECT t.request_id, t.attempt_no, coalesce(sha256(t.pin) = s.hashed_pin, false) AS ok
         FROM tries t LEFT JOIN supervisors s USING (supervisor_id)"""),
     "lockout": (["event_decided"], "SELECT supervisor_id, request_id, ok, failed_after, locks, counted FROM event_decided"),
-    "pin_remaining": (["machine_all"], """SELECT supervisor_id, request_id, 3 - failed_after AS remaining,
-        row_number() OVER (PARTITION BY request_id ORDER BY attempt_no) AS attempt_position FROM machine_all WHERE counted"""),
+    "pin_remaining": (["machine_all"], """SELECT supervisor_id, request_id, 3 - c AS remaining,
+        no AS attempt_position FROM machine_all WHERE counted"""),
     "supervisor_state": (["supervisors", "event_decided"], """SELECT s.supervisor_id,
         coalesce(d.locked, s.is_locked) AS is_locked,
         CAST(coalesce(d.failed, s.failed_attempts) AS BIGINT) AS failed_attempts,

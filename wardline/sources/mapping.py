@@ -137,19 +137,23 @@ def managers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pin_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three PIN entries per request, spread over all supervisors: some without an id, with an
-    unknown id, or unfinished."""
+    unknown id, or unfinished; some delivered twice, some without a time, some an hour and more after the one before,
+    so that requests of a supervisor interleave."""
     conv, turn, no = F.col("conv_id"), F.col("turn"), F.col("attempt_no")
     who = (conv * 7 + turn) % F.lit(size(spark, sf_dir, "supplier"))
     spread = conv * 3 + turn
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").filter(spread % 11 != 0)
+    delay = F.when((spread % 5 == 1) & (no == 3), 5000).otherwise(0)
     return (turns.select("conv_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt_no"))
             .filter((spread % 7 != 0) | (no < 3))
+            .select("*", F.explode(F.array_repeat(F.lit(0), F.when((spread + no) % 10 == 3, 2).otherwise(1))).alias("again"))
             .select(F.concat_ws("-", conv.cast("string"), turn.cast("string")).alias("request_id"),
                     F.when(spread % 13 == 0, "SUP999999")
                     .otherwise(F.concat(F.lit(" sup"), F.lpad(who.cast("string"), 6, "0"), F.lit(" ")))
                     .alias("supervisor_id"),
                     "attempt_no",
-                    F.timestamp_micros((conv * 90 + turn * 7 + no + DAY_ONE) * 1_000_000).alias("ts"),
+                    F.when((spread + no) % 31 != 0, F.timestamp_micros((conv * 90 + turn * 7 + no + delay + DAY_ONE) * 1_000_000))
+                    .alias("ts"),
                     F.when((spread + no * 5) % 4 == 0,
                            F.lpad((who * 37 % 10000).cast("string"), 4, "0"))
                     .otherwise("0000x").alias("pin")))
