@@ -32,7 +32,7 @@ from wardline.llm.common import bounded_batches
 from wardline.session import materialise
 
 SCALE, K, EVERY = 64, 20, 20
-BITS = 5
+BITS = 6
 FIRST = 2
 HELD = 2_000_000  # candidates a task holds before it hands them on
 _EXTENT = "dim int, lo long, hi long"
