@@ -52,7 +52,8 @@ def given():
     rows = [("en", "New York City is big. New York City, I say; San Francisco Bay"), ("en", "the the the the the the"),
             (None, "no language here at all\tthere"), ("und", "no language here at all  there"), ("", "empty lang of course"),
             ("fr", "ÉTÉ à Paris\x0bété À paris\x0cfin de  semaine\r\nfin de semaine"), ("fr", "a b\x1cc d\x85e   f g"),
-            ("en", None), ("en", ""), ("en", " \t\n.,;"), ("de", "ä" * 500 + " x y"), ("en", "b a. a b. b a. a b"), ("zz", "one two")]
+            ("en", None), ("en", ""), ("en", " \t\n.,;"), ("de", "ä" * 500 + " x y"), ("en", "b a. a b. b a. a b"), ("zz", "one two"),
+            ("two words\nand lines", "a b c d e a b c d e")]
     return [r for i, r in enumerate(rows) for _ in range(12 + 5 * (i % 4))] * 2
 
 
@@ -94,17 +95,41 @@ def test_products_beyond_64_bits(spark):
     assert got(c.best_phrases(found, totals)) == ranked(f, Counter({"en": 3 * big}))
 
 
-def test_windows_are_padded_and_whole(given):
-    """Each position gives one window, whatever the stretches are cut into."""
-    texts, langs = pa.array([t or "" for _, t in given]), pa.array([lang or "und" for lang, _ in given])
-    total = Counter()
-    for at in range(0, len(given), 97):
-        for r in c.count_windows(texts[at:at + 97], langs[at:at + 97]).to_pylist():
-            total[tuple(r[k] for k in ("lang", "w1", "w2", "w3", "w4"))] += r["n"]
+@pytest.mark.parametrize("held_bytes,held_rows", [(1 << 20, 10**6), (300, 10**6), (300, 5)])
+def test_prefix_sums_survive_any_bounds(given, monkeypatch, held_bytes, held_rows):
+    """Cut or handed on as they are, the windows of a bucket give every frequent prefix its sum, and cut windows are few."""
+    monkeypatch.setattr(c, "HELD_BYTES", held_bytes)
+    monkeypatch.setattr(c, "HELD_ROWS", held_rows)
+    texts, langs = pa.array([t or "" for _, t in given]), pa.array(["und" if lang is None else lang for lang, _ in given])
+    folded = pa.concat_tables([c.count_windows(texts[at:at + 97], langs[at:at + 97], 5) for at in range(0, len(given), 97)])
+    dealt = folded.sort_by([("bucket", "ascending"), ("lang", "ascending")]).combine_chunks().to_batches(max_chunksize=3)
+    prefixes, rows = Counter(), 0
+    for batch in c._met(iter(dealt), 30):
+        for r in batch.to_pylist():
+            words = [r[w] for w in ("w1", "w2", "w3", "w4") if r[w] is not None]
+            assert words == [r[w] for w in ("w1", "w2", "w3", "w4")][:len(words)]
+            prefixes.update({(r["lang"], *words[:i]): r["n"] for i in range(1, len(words) + 1)})
+            rows += 1
+    f, _ = counted(given)
+    assert {k: v for k, v in prefixes.items() if v >= 30 or len(k) == 2} == {
+        (lang, *p): a for lang, bag in f.items() for p, a in bag.items() if a >= 30 or len(p) == 1}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1000])
+def test_windows_are_padded_and_whole(given, buckets):
+    """Each position gives one window, whatever the stretches are cut into, and a pair lies in one bucket."""
+    texts, langs = pa.array([t or "" for _, t in given]), pa.array(["und" if lang is None else lang for lang, _ in given])
+    folded = pa.concat_tables([c.count_windows(texts[at:at + 97], langs[at:at + 97], buckets) for at in range(0, len(given), 97)])
+    total, bucket = Counter(), {}
+    for r in folded.to_pylist():
+        for w in c.unfold(pa.array([r["windows"]])).to_pylist():
+            assert bucket.setdefault((r["lang"], w["w1"], w["w2"]), r["bucket"]) == r["bucket"]
+            words = [x for x in (w["w1"], w["w2"], *w["tail"].split(" ")) if x]
+            total[r["lang"], *(words + [None] * 4)[:4]] += w["n"]
     expect = Counter()
     for lang, text in given:
         for words in split(text):
-            expect.update((lang or "und", *(words[i:i + 4] + [None] * 4)[:4]) for i in range(len(words)))
+            expect.update(("und" if lang is None else lang, *(words[i:i + 4] + [None] * 4)[:4]) for i in range(len(words)))
     assert total == expect
 
 
