@@ -36,7 +36,7 @@ MAX = policy.MAX_FAILED_ATTEMPTS
 NO_TIME = -(2**63)
 PLACE = ["us", "request_id", "attempt_no", "ok", "digest"]
 _ENTRY = ("supervisor_id string, us long, request_id string, attempt_no int, ok boolean, digest string, no int, n int, "
-          "start int, shut boolean")
+          "start int, shut boolean, first int")
 _INPUT = [c.split()[0] for c in _ENTRY.split(", ")] + ["piece"]
 _SETTLED = _ENTRY + ", failed_after int, happens boolean, locks boolean, open boolean, mark int"
 _OPEN, _NEVER = object(), object()
@@ -44,19 +44,20 @@ _OUT_ROWS = 10_000
 
 
 def numbered(entries: DataFrame) -> DataFrame:
-    """Entries that may happen, with no (1-based position in the request) and n (how many of them): repeats, what
+    """Entries that may happen, with no (1-based position in the request) and n (the last one's): repeats, what
     follows a success of the request, and more than MAX are left out.
 
-    entries: supervisor_id, request_id, attempt_no, ts, ok, digest and columns that these decide.
+    entries: supervisor_id, request_id, attempt_no, ts, ok, digest and, per request, used (entries in earlier epochs).
     """
     once = (entries.withColumn("us", F.coalesce(micros(), F.lit(NO_TIME))).drop("ts")
             .withColumn("attempt_no", F.col("attempt_no").cast("int")).dropDuplicates(["request_id", *PLACE]))
     by_request = Window.partitionBy("request_id")
     in_order = by_request.orderBy("us", "attempt_no", "ok", "digest")
-    few = once.withColumn("no", F.row_number().over(in_order)).filter(F.col("no") <= MAX)
+    few = (once.withColumn("no", F.row_number().over(in_order)).filter(F.col("no") <= MAX)
+           .withColumn("no", F.col("no") + F.col("used")).filter(F.col("no") <= MAX))
     before = by_request.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     return (few.withColumn("_won", F.coalesce(F.max("ok").over(before), F.lit(False))).filter(~F.col("_won")).drop("_won")
-            .withColumn("n", F.count("*").over(by_request).cast("int")))
+            .withColumn("n", F.max("no").over(by_request).cast("int")))
 
 
 class _Piece:
@@ -76,7 +77,7 @@ class _Piece:
             yield row, None, False
             return
         request, no, more = row["request_id"], row["no"], row["no"] < row["n"]
-        first = self.firsts.get(request)
+        first = self.firsts.get(request, row["first"])
         if no > 1 and not more:
             self.firsts.pop(request, None)
         if no > 1 and first is None:
@@ -172,7 +173,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open rows and marks of all pieces, sorted by (supervisor, place, mark). first: the counter at the request's
-    first entry where a piece settled it."""
+    first entry where a piece or an earlier epoch settled it."""
     def walk() -> Iterator[dict]:
         supervisor, c, firsts = None, 0, {}
         for row in _rows(batches):
@@ -218,13 +219,17 @@ def _pieces(rows: DataFrame, max_key_rows: int) -> tuple[DataFrame, DataFrame |
 def played(entries: DataFrame, supervisors: DataFrame, at_most: int, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
     """Entries that happen, with the counter they leave behind, in the columns of the lockout operator plus position.
 
-    entries: supervisor_id, request_id, attempt_no, ts, ok, digest. supervisors: the snapshot with failed_attempts and
+    entries: supervisor_id, request_id, attempt_no, ts, ok, digest, and where requests began in an earlier epoch used
+    and first (entries so far, and the counter at the first). supervisors: the snapshot with failed_attempts and
     is_locked. at_most: a bound on the number of entries, so that a small table needs no count per supervisor. seq
     orders a supervisor's rows. Rows after the lock stay, not counted.
     """
     seed = supervisors.select(
         "supervisor_id", F.coalesce("failed_attempts", F.lit(0)).cast("int").alias("start"),
         (F.coalesce("is_locked", F.lit(False)) | (F.coalesce("failed_attempts", F.lit(0)) >= MAX)).alias("shut"))
+    for name, value in (("used", 0), ("first", None)):
+        if name not in entries.columns:
+            entries = entries.withColumn(name, F.lit(value).cast("int"))
     rows = numbered(entries).join(seed, "supervisor_id").select(*_INPUT[:-1])
     plain, hot = rows.withColumn("piece", F.lit(0)), None
     if at_most > max_key_rows:
@@ -235,11 +240,12 @@ def played(entries: DataFrame, supervisors: DataFrame, at_most: int, max_key_row
         cut = materialise(hot.repartition("supervisor_id", "piece").sortWithinPartitions(*order).select(_INPUT)
                           .mapInArrow(_settle, _SETTLED), "settled")
         begun = cut.filter("NOT open AND no = 1 AND NOT ok AND failed_after IS NOT NULL").select(
-            "request_id", (F.col("failed_after") - 1).alias("first"))
-        walked = (cut.filter("open").join(begun, "request_id", "left").repartition("supervisor_id")
+            "request_id", (F.col("failed_after") - 1).alias("_begun"))
+        walked = (cut.filter("open").join(begun, "request_id", "left").withColumn("first", F.coalesce("first", "_begun"))
+                  .drop("_begun").repartition("supervisor_id")
                   .sortWithinPartitions("supervisor_id", *PLACE, "mark").mapInArrow(_resolve, _SETTLED))
         settled = settled.unionByName(cut.filter("NOT open")).unionByName(walked)
-    settled = materialise(settled.filter("mark = 0").drop("mark", "open", "start", "n"), "played")
+    settled = materialise(settled.filter("mark = 0").drop("mark", "open", "start", "n", "first"), "played")
     place = F.struct(*PLACE)
     ends = settled.filter("locks").groupBy("supervisor_id").agg(F.min(place).alias("lock_at"))
     after = F.col("lock_at").isNotNull() & (place > F.col("lock_at"))

@@ -17,7 +17,7 @@ from wardline.plans import governed
 from wardline.session import materialise, new_path
 from wardline.sources import mapping as m
 from wardline.sources import tables as t
-from wardline.streaming import jobs
+from wardline.streaming import jobs, review
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -527,17 +527,35 @@ def stream_guard(spark, d):
     return spark.read.parquet(f"{path}/out").select("request_id", "clean_query", "flag", "block_reason", "role_error")
 
 
+DELAY, EPOCHS = 600, 3  # seconds by which rows arrive out of order, and in how many epochs
+WINDOW = 9000  # seconds that a streamed request waits for its PINs
+
+
+def _replayed(spark, path, start, beat, epochs=EPOCHS, **tables) -> None:
+    """Feed the tables to a stream out of order, epoch by epoch; the stream is started anew for each, from its checkpoint."""
+    us = F.unix_micros("ts")
+    spans = [df.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first() for df in tables.values()]
+    lo, hi = min(s.lo for s in spans), max(s.hi for s in spans)
+    come = {name: materialise(m.arrivals(df, lo, hi, DELAY, epochs, beat), name) for name, df in tables.items()}
+    for epoch in range(epochs):
+        for name, df in come.items():
+            df.filter(F.col("epoch") == epoch).drop("epoch").write.mode("append").parquet(f"{path}/in/{name}")
+        live = {name: spark.readStream.schema(df.drop("epoch").schema).parquet(f"{path}/in/{name}") for name, df in come.items()}
+        start(**live).awaitTermination()
+
+
 @query
 def stream_rate_limit(spark, d):
     path = new_path(spark, "stream-rate")
-    jobs.rate_limit_stream(m.event_attempts(spark, d, m.stream(spark, d, "events")), path).awaitTermination()
+    _replayed(spark, path, lambda attempts: jobs.rate_limit_stream(attempts, path, delay=DELAY), 2 * DELAY,
+              attempts=m.event_attempts(spark, d))
     return spark.read.parquet(f"{path}/ratelog").select("request_id", "user_role", "blocked")
 
 
 def _lockout_stream(spark, d):
     path = new_path(spark, "stream-lockout")
-    live = m.event_pins(spark, d, m.stream(spark, d, "events"))
-    jobs.lockout_stream(live, m.supervisors(spark, d), m.managers(spark, d), path).awaitTermination()
+    _replayed(spark, path, lambda pins: jobs.lockout_stream(pins, m.supervisors(spark, d), m.managers(spark, d), path, delay=DELAY),
+              2 * DELAY, pins=m.event_pins(spark, d))
     return path
 
 
@@ -555,8 +573,10 @@ def stream_escalation(spark, d):
 
 @query
 def stream_audit(spark, d):
+    """Requests and the PINs that follow them, both out of order. Entries without a time are no part of a stream."""
     path = new_path(spark, "stream-audit")
-    live = m.requests(spark, d, m.stream(spark, d, "conversations"))
-    jobs.audit_stream(live, m.employees(spark, d), m.embeddings(spark, d), m.supervisors(spark, d),
-                      m.managers(spark, d), m.pin_attempts(spark, d), path).awaitTermination()
+    asked = m.requests(spark, d).drop("conv_id", "turn")
+    _replayed(spark, path, lambda requests, pins: review.audit_stream(
+        requests, pins, m.employees(spark, d), m.embeddings(spark, d), m.supervisors(spark, d), m.managers(spark, d), path,
+        DELAY, WINDOW), 2 * WINDOW, 2, requests=asked, pins=m.pin_attempts(spark, d).filter("ts IS NOT NULL"))
     return _flat(spark.read.parquet(f"{path}/audit").drop("epoch"))

@@ -44,6 +44,22 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
     if typed:
         requests = (requests.withColumn("user_role", text.strip(F.col("user_role")))
                     .withColumn("query", text.default_query(F.col("query"))))
+    facts, matched = assess(requests, employees, embeddings, prior_log, k, where)
+    under_review = facts.filter("triggered").select(
+        *[c for c in ("request_id", "user_role", "requester_id") if c in facts.columns])
+    decisions, tried = gate.gate(under_review, attempts, supervisors)
+    # the only place where query texts are shuffled
+    log = materialise(audit.build(
+        facts.join(decisions, "request_id", "left").join(audited_query(requests), "request_id")), "audit")
+    return Outcome(
+        audit=log, released=released_records(log, matched, employees), ratelog=ratelog(limited(facts)),
+        escalations=alerts(tried, log, supervisors, managers, fallback_contact),
+        supervisors=gate.supervisor_state(supervisors, tried))
+
+
+def assess(requests: DataFrame, employees: DataFrame, embeddings: DataFrame, prior_log: DataFrame | None = None,
+           k: int = policy.TOP_K, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Everything up to the gate: (one narrow row per request, keys and scores of the records it may get)."""
     bare = requests.withColumn("has_vector", F.col("query_vec").isNotNull()).drop("query_vec")
     guarded = verdict(bare, prior_log)
     searching = requests.select("request_id", "query_vec").join(
@@ -61,26 +77,24 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
     facts = (guarded.join(per_request, "request_id", "left")
              .withColumn("triggered", F.col("proceeds") & access.needs_review(
                  F.col("allowed_fields"), F.coalesce("records_returned", F.lit(0)))))
-    facts = materialise(facts, "facts")
-    under_review = facts.filter("triggered").select(
-        *[c for c in ("request_id", "user_role", "requester_id") if c in facts.columns])
-    decisions, tried = gate.gate(under_review, attempts, supervisors)
-    # the only place where query texts are shuffled
-    log = materialise(audit.build(
-        facts.join(decisions, "request_id", "left").join(audited_query(requests), "request_id")), "audit")
+    return materialise(facts, "facts"), matched
 
+
+def released_records(log: DataFrame, matched: DataFrame, employees: DataFrame) -> DataFrame:
+    """The fields that approved requests may see of their records."""
     approved = log.filter(F.col("decision") == audit.APPROVED).select("request_id", "user_role")
-    released = access.project_mixed(
+    return access.project_mixed(
         retrieval.rank_records(matched.join(approved, "request_id")).join(employees, "nric"))
+
+
+def alerts(tried: DataFrame, log: DataFrame, supervisors: DataFrame, managers: DataFrame, fallback_contact: str = "") -> DataFrame:
+    """The outbox rows of the locks among decided PIN entries."""
     locks = (tried.filter("locks")
              .select("request_id", "supervisor_id", "ts", F.col("failed_after").alias("failed_attempts"))
              .join(log.select("request_id", "user_role", "query"), "request_id")
              .join(supervisors.select("supervisor_id", F.col("name").alias("supervisor_name")),
                    "supervisor_id"))
-    return Outcome(
-        audit=log, released=released, ratelog=ratelog(limited(facts)),
-        escalations=gate.escalations(locks, manager_contact(managers, fallback_contact)),
-        supervisors=gate.supervisor_state(supervisors, tried))
+    return gate.escalations(locks, manager_contact(managers, fallback_contact))
 
 
 def limited(facts: DataFrame) -> DataFrame:

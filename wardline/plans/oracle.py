@@ -206,21 +206,25 @@ _view("attempts", [], """SELECT conv_id || '-' || turn AS request_id,
     WHERE (d = 1 OR (conv_id * 3 + turn + n) % 10 = 3) AND role = 'user' AND (conv_id * 3 + turn) % 11 <> 0 AND ((conv_id * 3 + turn) % 7 <> 0 OR n < 3)""")
 _view("tries", ["attempts"], "SELECT *, upper(trim(entered)) AS supervisor_id FROM attempts")
 _view("first_try", ["tries"], "SELECT DISTINCT * FROM tries WHERE attempt_no = 1")
+# a stream has no place for entries without a time; the first that has one names the supervisor
+_view("timed_tries", ["tries"], "SELECT * FROM tries WHERE us IS NOT NULL")
+_view("first_timed_try", ["timed_tries"], """SELECT DISTINCT * FROM timed_tries
+    QUALIFY attempt_no = min(attempt_no) OVER (PARTITION BY request_id)""")
 
 # the gate over a table `facing`(request_id, user_role): all requests, or those under review
 _view("facing_all", ["requests"], "SELECT request_id, user_role FROM requests")
 
 
-def _gate(facing: str, tag: str) -> None:
+def _gate(facing: str, tag: str, tries: str = "tries", first_try: str = "first_try") -> None:
     """Views deciding the requests in `facing`; a state machine over each supervisor's attempts."""
-    _view(f"faced{tag}", [facing, "first_try", "supervisors"], f"""SELECT f.request_id, f.user_role,
-        t.supervisor_id, t.us AS first_us, s.supervisor_id IS NOT NULL AS known, s.hashed_pin, s.name,
+    _view(f"faced{tag}", [facing, first_try, "supervisors"], f"""SELECT f.request_id, f.user_role,
+        t.supervisor_id, t.us AS first_us, t.attempt_no AS first_no, s.supervisor_id IS NOT NULL AS known, s.hashed_pin, s.name,
         coalesce(s.is_locked, false) AS was_locked, s.failed_attempts,
         coalesce(list_contains(s.roles, f.user_role), false) AS authorised
-        FROM {facing} f LEFT JOIN first_try t USING (request_id) LEFT JOIN supervisors s USING (supervisor_id)""")
-    _view(f"entered{tag}", [f"faced{tag}", "tries"], f"""SELECT DISTINCT g.supervisor_id, g.request_id, t.attempt_no, t.us,
+        FROM {facing} f LEFT JOIN {first_try} t USING (request_id) LEFT JOIN supervisors s USING (supervisor_id)""")
+    _view(f"entered{tag}", [f"faced{tag}", tries], f"""SELECT DISTINCT g.supervisor_id, g.request_id, t.attempt_no, t.us,
         sha256(t.pin) = g.hashed_pin AS ok, sha256(t.pin) AS digest, g.was_locked, g.failed_attempts
-        FROM faced{tag} g JOIN tries t USING (request_id) WHERE authorised""")
+        FROM faced{tag} g JOIN {tries} t USING (request_id) WHERE authorised""")
     _view(f"played{tag}", [f"entered{tag}"], f"""SELECT * FROM (SELECT *,
           row_number() OVER (PARTITION BY request_id ORDER BY us NULLS FIRST, attempt_no, ok, digest) AS no,
           coalesce(bool_or(ok) OVER (PARTITION BY request_id ORDER BY us NULLS FIRST, attempt_no, ok, digest
@@ -244,7 +248,7 @@ def _gate(facing: str, tag: str) -> None:
     _view(f"decided{tag}", [f"faced{tag}", f"machine{tag}"], f"""SELECT g.request_id, g.supervisor_id,
         CASE WHEN g.supervisor_id IS NULL THEN 'DENIED — No supervisor ID entered'
           WHEN NOT known THEN 'DENIED — Supervisor ' || g.supervisor_id || ' not found'
-          WHEN was_locked OR row(coalesce(first_us, 0), g.request_id, 1) > lock_at
+          WHEN was_locked OR row(coalesce(first_us, 0), g.request_id, g.first_no) > lock_at
             THEN 'DENIED — Supervisor ' || g.supervisor_id || ' account is locked'
           WHEN NOT authorised THEN 'DENIED — Supervisor not authorised for role ' || user_role
           WHEN o.locks THEN 'DENIED — Supervisor ' || g.supervisor_id || ' locked after 3 failed attempts'
@@ -303,7 +307,11 @@ _view("reached_facts", ["reached", "scores", "records"], f"""SELECT r.request_id
       AND len(list_intersect(r.allowed, {_SENSITIVE})) > 0 AS triggered FROM reached r""")
 _view("facing_review", ["reached_facts"], "SELECT request_id, user_role FROM reached_facts WHERE triggered")
 _gate("facing_review", "_review")
-_view("audit", ["guarded", "reached_facts", "decided_review"], rf"""SELECT g.request_id, g.us, g.user_role, g.clean AS query,
+_gate("facing_review", "_timed", "timed_tries", "first_timed_try")
+
+
+def _audit(name: str, decided: str) -> None:
+    _view(name, ["guarded", "reached_facts", decided], rf"""SELECT g.request_id, g.us, g.user_role, g.clean AS query,
     CASE WHEN g.role_error IS NOT NULL THEN 'DENIED - Invalid role'
       WHEN g.flag <> '' THEN 'DENIED - ' || g.flag || ': ' || g.why
       WHEN f.request_id IS NULL THEN 'DENIED - Embedding error'
@@ -322,11 +330,15 @@ _view("audit", ["guarded", "reached_facts", "decided_review"], rf"""SELECT g.req
       WHEN d.gate_decision <> 'APPROVED' THEN d.gate_decision
       WHEN f.top_score < 0.3 THEN 'Low similarity warning — top score ' ||
         regexp_replace(CAST(CAST({_r4('f.top_score')} AS DECIMAL(10,4)) AS VARCHAR), '(\.\d+?)0+$', '\1') END AS error
-    FROM guarded g LEFT JOIN reached_facts f USING (request_id) LEFT JOIN decided_review d USING (request_id)""")
+    FROM guarded g LEFT JOIN reached_facts f USING (request_id) LEFT JOIN {decided} d USING (request_id)""")
+
+
+_audit("audit", "decided_review")
+_audit("audit_timed", "decided_timed")
 _view("released", ["shown", "audit"], """SELECT s.* FROM shown s JOIN audit a USING (request_id)
     WHERE a.decision = 'APPROVED'""")
 
-_RECURSIVE = {"limited", "event_limited", "machine_all", "machine_review", "event_machine"}
+_RECURSIVE = {"limited", "event_limited", "machine_all", "machine_review", "machine_timed", "event_machine"}
 
 
 def _needed(names: list[str]) -> list[str]:
@@ -464,7 +476,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "escalation_build": (["alerts_all"], "SELECT request_id, subject, body FROM alerts_all"),
     "audit_build": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit"),
     "audit_append": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit"),
-    "stream_audit": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit"),
+    "stream_audit": (["audit_timed"], f"SELECT {_AUDIT_COLS} FROM audit_timed"),
     "lookup_audit_entry": (["audit"], f"SELECT {_AUDIT_COLS} FROM audit WHERE request_id = '6-2'"),
     "audit_decision": (["audit"], """SELECT user_role, decision, hitl_decision, count(*) AS n
         FROM audit GROUP BY user_role, decision, hitl_decision"""),

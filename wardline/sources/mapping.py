@@ -173,3 +173,16 @@ def event_pins(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
                     F.lpad(F.col("event_id").cast("string"), 12, "0").alias("request_id"),
                     F.lit(1).alias("attempt_no"), F.col("ts").cast("timestamp").alias("ts"),
                     (F.col("event_type") == "purchase").alias("ok")))
+
+
+def arrivals(df: DataFrame, first: int, last: int, delay: int, epochs: int, beat: int) -> DataFrame:
+    """The rows with the epoch they arrive in, up to `delay` seconds after their time, and a heartbeat `beat` seconds after the
+    last one, in the last epoch. first, last: least and largest time, in microseconds, of all tables that arrive together."""
+    until = last + delay * 1_000_000
+    came = F.coalesce(F.unix_micros("ts"), F.lit(first)) + F.pmod(F.xxhash64("request_id"), F.lit(delay)) * 1_000_000
+    epoch = F.least(F.lit(epochs - 1), F.floor((came - first) * epochs / (until - first))).cast("int")
+    rows = df.withColumn("epoch", epoch)
+    pulse = df.sparkSession.range(1).select(
+        *[(F.timestamp_micros(F.lit(until + beat * 1_000_000)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+          for f in df.schema], F.lit(epochs - 1).alias("epoch"))
+    return rows.unionByName(pulse)
