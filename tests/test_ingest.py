@@ -128,3 +128,63 @@ def test_quoted_cells_of_a_sheet(spark, tmp_path):
     (tmp_path / "s.csv").write_text('NRIC,Name,Financial_Info\nS1,"Ann ""A"", B","line one\nline two"\n')
     rows = tables.read_personnel(spark, str(tmp_path / "s.csv")).collect()
     assert [tuple(r) for r in rows] == [("S1", 'Ann "A", B', "line one\nline two")]
+
+
+def test_refused_batches_are_halved_and_equal_texts_asked_once(spark):
+    asked, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(1)
+        asked.add(len(texts))
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return [[float(len(t))] for t in texts]
+
+    rows = [(i, "same text") for i in range(500)] + [(500 + i, f"text {i}") for i in range(255)] + [(900, "bad"), (901, None)]
+    df = spark.createDataFrame(rows, "id int, content string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.id: r.embedding for r in ingest.embed_with(df, "content", model).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 757 and got[3] == [9.0] and got[600] == [float(len("text 100"))] and got[900] is None and got[901] is None
+    # 257 different texts, one of them bad: two calls for each of the nine halvings at most
+    assert calls.value <= 2 * 9 + 1 and asked.value <= 257 * 3
+
+
+def test_counts_are_taken_while_writing(spark, tmp_path, sheet):
+    tables.ensure_tables(spark, str(tmp_path / "db"), "wl_counts")
+    counts = ingest.ingest_job(sheet, lambda texts: [[1.0] for _ in texts], "wl_counts", str(tmp_path / "db"))
+    normalised = ingest.normalise(sheet)
+    stored = ingest.split_by_key(normalised)[0].count()
+    assert tuple(counts.first()) == (stored, stored, normalised.count() - stored, 0)
+
+
+def test_a_batch_appended_twice_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01', 'HR_Admin', 'a', false), (NULL, 'HR_Admin', 'b', false) AS t(timestamp, user_role, request_id, blocked)")
+    for _ in range(2):
+        assert tables.append(df, path, schemas.RATE_LIMIT_LOG, "b1") == 1
+    tables.append(df.withColumn("request_id", F.lit("c")), path, schemas.RATE_LIMIT_LOG, "b2")
+    log = tables.read_log(spark, path, schemas.RATE_LIMIT_LOG)
+    assert log.columns == schemas.RATE_LIMIT_LOG.names and sorted(r.request_id for r in log.collect()) == ["a", "c"]
+    assert tables.read_log(spark, f"{path}-refused", schemas.RATE_LIMIT_LOG).count() == 2
+
+
+def test_a_stored_log_is_read_by_key(spark, tmp_path):
+    from tests.conftest import plan_of
+    rows = spark.range(400).select(*[(F.concat(F.lit("r"), "id") if f.name == "request_id" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                     for f in schemas.AUDIT_LOG.fields])
+    path = str(tmp_path / "log")
+    tables.write_clustered(rows, path, "request_id", 8)
+    one = tables.find_audit_entry(spark, path, "r77")
+    assert [r.request_id for r in one.collect()] == ["r77"] and one.columns == schemas.AUDIT_LOG.names
+    plan = plan_of(one)
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan and "EqualTo(request_id,r77)" in plan
+    files = tables.read_clustered(spark, path, schemas.AUDIT_LOG, "request_id", "r77")
+    assert len(one.inputFiles()) <= len(files.inputFiles()) < 8 or files.count() == 1
+    assert tables.find_audit_entry(spark, path, "missing").collect() == []
+    wanted = spark.createDataFrame([("r3",), ("r399",), ("r3",), ("x",), (None,)], "request_id string")
+    many = tables.read_clustered(spark, path, schemas.AUDIT_LOG, "request_id", wanted)
+    assert sorted(r.request_id for r in many.collect()) == ["r3", "r399"]
+    assert tables.read_clustered(spark, path, schemas.AUDIT_LOG, "request_id", rows.select("request_id")).count() == 400

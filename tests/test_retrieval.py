@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from wardline.functions import vectors
-from wardline.operators import retrieval
+from wardline.operators import pivots, retrieval
 
 VEC = "request_id string, query_vec array<float>"
 STORED = "nric string, embedding array<float>, label int"
@@ -127,3 +127,71 @@ def test_vectors_of_unequal_length_or_with_gaps_are_refused():
     for bad in ([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]], [[1.0, None]], [None, [1.0]]):
         with pytest.raises(ValueError):
             retrieval._matrix(pa.array(bad, pa.list_(pa.float32())))
+
+
+@pytest.mark.parametrize("n_pivots", [1, 6, 500])
+@pytest.mark.parametrize("k", [1, 5])
+def test_pivot_search_is_exact(spark, n_pivots, k):
+    reqs, stored = data()
+    index = pivots.build(spark.createDataFrame(stored, STORED).repartition(3), n_pivots)
+    asked = spark.createDataFrame([*reqs, ("none", None)], VEC)
+    for where, kept in ((None, stored), (F.col("label") == 1, [s for s in stored if s[2] == 1]), (F.col("label") == 9, [])):
+        top, report = pivots.search(asked, index, k, where)
+        expect = brute(reqs, kept, k)
+        assert keys(top) == {r: e for r, e in expect.items() if e}
+        assert {r.request_id for r in report.collect()} == ({r for r, _ in reqs} if kept else set())
+
+
+def test_pivot_search_skips_far_blocks(spark):
+    """Clustered vectors: a request reads the blocks around it and no others, and gets the same answer."""
+    rng = np.random.default_rng(2)
+    centres = np.eye(16)
+    stored = [(f"S{i:04d}", (centres[i % 16] + rng.normal(0, 0.02, 16)).tolist(), i % 3) for i in range(640)]
+    reqs = [(f"r{i}", (centres[i] + rng.normal(0, 0.02, 16)).tolist()) for i in range(16)]
+    index = pivots.build(spark.createDataFrame(stored, STORED), 64)
+    top, report = pivots.search(spark.createDataFrame(reqs, VEC), index, 5)
+    # single precision is what a table holds
+    as_stored = [(n, np.float32(v).tolist(), x) for n, v, x in stored]
+    assert keys(top) == brute([(r, np.float32(q).tolist()) for r, q in reqs], as_stored, 5)
+    read = report.collect()
+    assert all(r.n_read <= r.n_blocks / 4 for r in read) and read[0].n_blocks > 16
+    assert pivots.search(spark.createDataFrame(reqs, VEC), pivots.build(spark.createDataFrame([], STORED)), 5)[0].collect() == []
+
+
+def test_heaps_merge_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "FAN_IN", 2)
+    monkeypatch.setattr(retrieval, "_slots", lambda df: 9)
+    reqs, stored = data()
+    asked, kept = spark.createDataFrame(reqs, VEC), spark.createDataFrame(stored, STORED).repartition(40)
+    top = retrieval.topk(asked, kept, 3, broadcast_bytes=10_000)
+    assert keys(top) == brute(reqs, stored, 3)
+    heaps = retrieval._score_against_requests(asked, kept.select("nric", "embedding"), 3)
+    assert heaps.count() <= 3 * len(reqs) * 9  # not times the splits
+
+
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_bytes": 1500}], ids=["in place", "blocks"])
+def test_score_profile_forms_agree(spark, sizes):
+    reqs, stored = data()
+    got = retrieval.score_profile(spark.createDataFrame([*reqs, ("none", None)], VEC).repartition(3),
+                                  spark.createDataFrame(stored, STORED).repartition(5), **sizes)
+    unit = [np.array(v, float) / (np.linalg.norm(v) or 1) for _, v, _ in stored]
+    expect = {}
+    for r, q in reqs:
+        s = np.rint(np.stack(unit) @ (np.array(q, float) / (np.linalg.norm(q) or 1)) * 1e4) / 1e4
+        expect[r] = (len(s), int((s < 0.3).sum()), s.max(), s.min())
+    assert {r.request_id: tuple(r)[1:] for r in got.collect()} == expect
+
+
+def test_threshold_is_compared_with_the_unrounded_score(spark):
+    """A score a hair under the threshold is low even where twelve decimals show the threshold itself."""
+    top = spark.createDataFrame([("a", "x", 0.3, 0.3 - 2e-14), ("b", "x", 0.3, 0.3)], "request_id string, nric string, score double, raw double")
+    best = retrieval.top_score(spark.createDataFrame([("a",), ("b",), ("c",)], "request_id string"), top)
+    warned = {r.request_id: r.w for r in best.select("request_id", retrieval.low_similarity_warning(F.col("top_score")).alias("w")).collect()}
+    assert warned["a"] and warned["b"] is None and warned["c"]
+
+
+def test_ragged_vectors_fail_before_they_are_sent(spark):
+    stored = spark.createDataFrame([("x", [1.0, 0.0], 0), ("y", [1.0] * 5, 0)], STORED)
+    assert retrieval._bytes(stored, "embedding") == 7 * 8 + 2 * 64
+    with pytest.raises(Exception, match="one length"):
+        retrieval.topk(spark.createDataFrame([("a", [1.0, 0.0])], VEC), stored).collect()

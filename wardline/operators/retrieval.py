@@ -4,14 +4,15 @@ Three physical forms of the same exact answer, chosen by measured size:
 
 * stored vectors fit the broadcast bound: each request batch is scored against the whole matrix
   and keeps its own k best. No shuffle.
-* requests fit the bound: vectors stay where they are, each task keeps k candidates per request,
-  and one group limit merges them.
+* requests fit the bound: vectors stay where they are. The splits are read by as many tasks as there are cores, one
+  heap of k per request each, so k x requests x cores candidates leave the scan however many splits there are; heaps
+  are merged in levels of FAN_IN.
 * neither fits: both sides are cut into bounded blocks and every pair of blocks meets in one task
   (cogroup on the block pair), k candidates per request leave it, then the same merge.
 
-No form emits the request x vector pairs. Scores are compared at 12 decimals, below the noise of
+No form emits the request x vector pairs. Scores are ranked at 12 decimals, below the noise of
 float64 summation order, and ties go to the smaller key, so the answer does not depend on
-the form or the partitioning.
+the form or the partitioning. `raw` is the score as computed, for comparison with a threshold.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 COMPARE_DIGITS = 12
 SCORES_IN_FLIGHT = 4_000_000
-_SCORED = "request_id string, nric string, score double"
+FAN_IN = 64
+_SCORED = "request_id string, nric string, score double, raw double"
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -55,7 +58,8 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _best(request_ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, stored: np.ndarray,
           k: int) -> pa.RecordBatch:
     """Each request's k best keys; `keys` must be sorted, so that position breaks ties."""
-    scores = np.round(queries @ stored.T, COMPARE_DIGITS)
+    raw = queries @ stored.T
+    scores = np.round(raw, COMPARE_DIGITS)
     k = min(k, scores.shape[1])
     if k < scores.shape[1]:
         # everything at or above the k-th score, so that a tie at the cut is settled by key
@@ -66,11 +70,12 @@ def _best(request_ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, stored
     values = scores[rows, cols]
     order = np.lexsort((cols, -values, rows))
     rows, cols, values = rows[order], cols[order], values[order]
+    exact = raw[rows, cols]
     position = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     keep = position < k
     return pa.RecordBatch.from_arrays(
         [pa.array(request_ids[rows[keep]], pa.string()), pa.array(keys[cols[keep]], pa.string()),
-         pa.array(values[keep], pa.float64())], names=["request_id", "nric", "score"])
+         pa.array(values[keep], pa.float64()), pa.array(exact[keep], pa.float64())], names=["request_id", "nric", "score", "raw"])
 
 
 def _sorted_keys(keys: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ def _ids(column) -> np.ndarray:
 
 def topk(requests: DataFrame, vectors: DataFrame, k: int = policy.TOP_K, where: Column | None = None,
          broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(request_id, nric, score): each request's k nearest stored vectors.
+    """(request_id, nric, score, raw): each request's k nearest stored vectors.
 
     requests: request_id, query_vec. vectors: nric, embedding. `where` filters the vectors first.
     A missing vector on either side takes no part.
@@ -93,29 +98,39 @@ def topk(requests: DataFrame, vectors: DataFrame, k: int = policy.TOP_K, where:
         vectors = vectors.filter(where)
     left = requests.select("request_id", "query_vec").filter(F.col("query_vec").isNotNull())
     right = vectors.select("nric", "embedding").filter(F.col("embedding").isNotNull())
-    # plain row counts are upper bounds and, over Parquet, read from the footers
-    n_right = vectors.count()
-    width = 8 * _dims(right)
-    if n_right * width <= broadcast_bytes:
+    stored_bytes = _bytes(right, "embedding")
+    if stored_bytes <= broadcast_bytes:
         return _score_against_vectors(left, right, k)
-    n_left = requests.count()
-    if n_left * width <= broadcast_bytes:
-        return _merge(_score_against_requests(left, right, k), k)
-    return _merge(_score_blocks(left, right, k, -(-n_left * width // block_bytes),
-                                -(-n_right * width // block_bytes)), k)
+    asked_bytes = _bytes(left, "query_vec")
+    if asked_bytes <= broadcast_bytes:
+        return _merge_levels(_score_against_requests(left, right, k), k, _slots(right))
+    return _merge(_score_blocks(left, right, k, -(-asked_bytes // block_bytes),
+                                -(-stored_bytes // block_bytes)), k)
 
 
-def _dims(vectors: DataFrame) -> int:
-    first = vectors.select(F.size("embedding").alias("d")).limit(1).collect()
-    return first[0].d if first else 1
+def _bytes(df: DataFrame, vector: str) -> int:
+    """What the vectors take as float64, and some for each key: summed over all rows, none stands for the others."""
+    return df.agg(F.coalesce(F.sum(F.size(vector).cast("long") * 8 + 64), F.lit(0)).alias("n")).first().n
 
 
-def _merge(candidates: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("request_id").orderBy(F.desc("score"), "nric")
+def _slots(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def _merge(candidates: DataFrame, k: int, *groups: str) -> DataFrame:
+    best = Window.partitionBy("request_id", *groups).orderBy(F.desc("score"), "nric")
     return (candidates.withColumn("_n", F.row_number().over(best))
             .filter(F.col("_n") <= k).drop("_n"))
 
 
+def _merge_levels(candidates: DataFrame, k: int, slots: int) -> DataFrame:
+    """Heaps of `slots` tasks, merged FAN_IN at a time: no task reads more than k x FAN_IN rows of a request."""
+    while slots > FAN_IN:
+        slots = -(-slots // FAN_IN)
+        candidates = _merge(candidates.withColumn("slot", F.pmod("slot", F.lit(slots))), k, "slot")
+    return _merge(candidates.drop("slot"), k)
+
+
 def _score_against_vectors(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     table = right.toArrow()  # within the broadcast bound, checked by the caller
     keys, stored = _sorted_keys(table["nric"].combine_chunks(), table["embedding"].combine_chunks())
@@ -139,6 +154,7 @@ def _score_against_requests(left: DataFrame, right: DataFrame, k: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
+        slot = TaskContext.get().partitionId()
         best = None  # the task's k best per request so far
         for batch in batches:
             if not (batch.num_rows and len(ids)):
@@ -150,9 +166,11 @@ def _score_against_requests(left: DataFrame, right: DataFrame, k: int) -> DataFr
             best = pa.Table.from_batches(found) if best is None else _keep(
                 pa.concat_tables([best, pa.Table.from_batches(found)]), k)
         if best is not None:
+            best = best.append_column("slot", pa.array(np.full(best.num_rows, slot), pa.int32()))
             yield from best.to_batches(max_chunksize=10_000)
 
-    return right.mapInArrow(run, _SCORED)
+    # several splits per task, without a shuffle
+    return right.coalesce(_slots(right)).mapInArrow(run, _SCORED + ", slot int")
 
 
 def _keep(candidates: pa.Table, k: int) -> pa.Table:
@@ -175,7 +193,7 @@ def _score_blocks(left: DataFrame, right: DataFrame, k: int, n_left: int, n_righ
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"request_id": pa.array([], pa.string()), "nric": pa.array([], pa.string()),
-                          "score": pa.array([], pa.float64())})
+                          "score": pa.array([], pa.float64()), "raw": pa.array([], pa.float64())})
         if not (a.num_rows and b.num_rows):
             return empty
         keys, stored = _sorted_keys(b["nric"].combine_chunks(), b["embedding"].combine_chunks())
@@ -188,44 +206,83 @@ def _score_blocks(left: DataFrame, right: DataFrame, k: int, n_left: int, n_righ
             .applyInArrow(meet, _SCORED))
 
 
-def score_profile(requests: DataFrame, vectors: DataFrame, low: float = policy.LOW_SIMILARITY) -> DataFrame:
+def score_profile(requests: DataFrame, vectors: DataFrame, low: float = policy.LOW_SIMILARITY,
+                  broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each request scored against every stored vector, summed up without emitting the pairs:
     n_scored, n_low (rounded score below the threshold), top_score, bottom_score.
 
-    Vectors are read in place by tasks that hold a bounded block of requests at a time.
+    Requests within the broadcast bound are sent to the vectors, which are read in place by as many tasks as there are
+    cores, each with one running row per request. Beyond it both sides are cut into bounded blocks that meet
+    in pairs by a shuffle. A request without stored vectors has no row.
     """
     left = requests.select("request_id", "query_vec").filter(F.col("query_vec").isNotNull())
     right = vectors.select("nric", "embedding").filter(F.col("embedding").isNotNull())
-    width = 8 * _dims(right)
-    n_left = max(1, -(-requests.count() * width // BLOCK_BYTES))
-    n_right = max(1, -(-vectors.count() * width // BLOCK_BYTES))
+    asked_bytes = _bytes(left, "query_vec")
+    if asked_bytes <= broadcast_bytes:
+        scored = _profile_in_place(left, right, low)
+    else:
+        scored = _profile_blocks(left, right, low, -(-asked_bytes // block_bytes),
+                                 max(1, -(-_bytes(right, "embedding") // block_bytes)))
+    return scored.groupBy("request_id").agg(
+        F.sum("n_scored").alias("n_scored"), F.sum("n_low").alias("n_low"),
+        F.max("top_score").alias("top_score"), F.min("bottom_score").alias("bottom_score"))
+
+
+_PROFILE = "request_id string, n_scored long, n_low long, top_score double, bottom_score double"
+
+
+class _Profile:
+    """Running sums of some requests."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, low: float):
+        self.ids, self.queries, self.low, self.n = ids, queries, low, 0
+        self.n_low = np.zeros(len(ids), np.int64)
+        self.top, self.bottom = np.full(len(ids), -np.inf), np.full(len(ids), np.inf)
+
+    def add(self, stored: np.ndarray) -> None:
+        self.n += len(stored)
+        step = max(1, SCORES_IN_FLIGHT // max(1, len(stored)))
+        for i in range(0, len(self.ids) if len(stored) else 0, step):
+            s = np.rint(self.queries[i:i + step] @ stored.T * 1e4) / 1e4
+            part = slice(i, i + step)
+            self.n_low[part] += (s < self.low).sum(axis=1)
+            self.top[part] = np.maximum(self.top[part], s.max(axis=1))
+            self.bottom[part] = np.minimum(self.bottom[part], s.min(axis=1))
+
+    def rows(self) -> pa.Table:
+        keep = np.full(len(self.ids), self.n > 0)
+        return pa.table({
+            "request_id": pa.array(self.ids[keep], pa.string()), "n_scored": pa.array(np.full(int(keep.sum()), self.n), pa.int64()),
+            "n_low": pa.array(self.n_low[keep]), "top_score": pa.array(self.top[keep]), "bottom_score": pa.array(self.bottom[keep])})
+
+
+def _profile_in_place(left: DataFrame, right: DataFrame, low: float) -> DataFrame:
+    table = left.toArrow()  # within the broadcast bound, checked by the caller
+    shared = left.sparkSession.sparkContext.broadcast((_ids(table["request_id"]), _matrix(table["query_vec"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profile = _Profile(*shared.value, low)
+        for batch in batches:
+            if batch.num_rows and len(profile.ids):
+                profile.add(_matrix(batch["embedding"]))
+        yield from profile.rows().to_batches(max_chunksize=10_000)
+
+    return right.coalesce(_slots(right)).mapInArrow(run, _PROFILE)
+
+
+def _profile_blocks(left: DataFrame, right: DataFrame, low: float, n_left: int, n_right: int) -> DataFrame:
     requests = left.select("*", F.pmod(F.xxhash64("request_id"), F.lit(n_left)).alias("lb"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rb"))
     stored = right.select("*", F.pmod(F.xxhash64("nric"), F.lit(n_right)).cast("int").alias("rb"),
                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("lb"))
-    schema = "request_id string, n_scored long, n_low long, top_score double, bottom_score double"
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids = _ids(a["request_id"]) if b.num_rows else np.array([], dtype=object)
-        parts = [(np.zeros(0), np.zeros(0), np.zeros(0))]
-        if len(ids):
-            queries, m = _matrix(a["query_vec"]), _matrix(b["embedding"])
-            step = max(1, SCORES_IN_FLIGHT // len(m))
-            for i in range(0, len(ids), step):
-                s = np.rint(queries[i:i + step] @ m.T * 1e4) / 1e4
-                parts.append(((s < low).sum(axis=1), s.max(axis=1), s.min(axis=1)))
-        n_low, top, bottom = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.table({
-            "request_id": pa.array(ids, pa.string()),
-            "n_scored": pa.array(np.full(len(ids), b.num_rows), pa.int64()),
-            "n_low": pa.array(n_low.astype(np.int64)), "top_score": pa.array(top),
-            "bottom_score": pa.array(bottom)})
+        profile = _Profile(_ids(a["request_id"]), _matrix(a["query_vec"]), low)
+        if a.num_rows and b.num_rows:
+            profile.add(_matrix(b["embedding"]))
+        return profile.rows()
 
-    scored = (requests.groupBy("lb", "rb").cogroup(stored.groupBy("lb", "rb"))
-              .applyInArrow(meet, schema))
-    return scored.groupBy("request_id").agg(
-        F.sum("n_scored").alias("n_scored"), F.sum("n_low").alias("n_low"),
-        F.max("top_score").alias("top_score"), F.min("bottom_score").alias("bottom_score"))
+    return requests.groupBy("lb", "rb").cogroup(stored.groupBy("lb", "rb")).applyInArrow(meet, _PROFILE)
 
 
 def retrieve(top: DataFrame, employees: DataFrame) -> DataFrame:
@@ -240,7 +297,7 @@ def retrieve(top: DataFrame, employees: DataFrame) -> DataFrame:
 
 def top_score(requests: DataFrame, top: DataFrame) -> DataFrame:
     """(request_id, top_score): highest unrounded score, 0 when nothing is stored."""
-    best = top.groupBy("request_id").agg(F.max("score").alias("best"))
+    best = top.groupBy("request_id").agg(F.max("raw").alias("best"))
     return requests.select("request_id").join(best, "request_id", "left").select(
         "request_id", F.coalesce("best", F.lit(0.0)).alias("top_score"))
 

@@ -68,7 +68,7 @@ def assess(requests: DataFrame, employees: DataFrame, embeddings: DataFrame, pri
     top = retrieval.topk(searching, embeddings, k, where)
     # a key stored twice inside one top-k keeps its lowest score; found: it has a record
     hits = materialise(
-        top.groupBy("request_id", "nric").agg(F.min("score").alias("score"), F.max("score").alias("best"))
+        top.groupBy("request_id", "nric").agg(F.min("score").alias("score"), F.max("raw").alias("best"))
         .join(employees.select("nric").withColumn("found", F.lit(True)), "nric", "left"), "hits")
     matched = hits.filter("found").select(
         "request_id", "nric", round_score(F.col("score")).alias("_similarity_score"))

@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None, partition_by: str | None = None) -> DataFrame:
     """Write a result that several branches share, and read it back.
 
     It cuts the lineage with a plain table: a lost executor re-reads files instead of re-running
@@ -47,5 +47,6 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from wardline import schemas
 from wardline.functions import text
 from wardline.session import materialise
 
+BATCH, BUCKET = "append_batch", "key_bucket"  # folder names
+
 
 def read_personnel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The personnel sheet, all cells as text. A missing file fails the read.
@@ -31,12 +33,14 @@ def read_personnel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """Rows of a few unsplittable files, spread over the cores before row-by-row text work.
+    """Rows of a few files, spread over the cores before row-by-row text work.
 
-    A table that already has a split per core is left as it is, so large inputs are not shuffled.
+    A table of at least a file per core is left as it is, so large inputs are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # inputs are known without planning or running anything; a table that is not read from files counts as split
+    n_files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < n_files < cores else df
 
 
 def scan_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -87,6 +91,11 @@ def lookup_audit_entry(audit: DataFrame, request_id: str) -> DataFrame:
     return audit.filter(F.col("request_id") == request_id).limit(1)
 
 
+def find_audit_entry(spark: SparkSession, path: str, request_id: str) -> DataFrame:
+    """The same from a log stored with write_clustered: one bucket is opened."""
+    return read_clustered(spark, path, schemas.AUDIT_LOG, "request_id", request_id).limit(1)
+
+
 def conform(df: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(rows fitting the declared schema, rows whose required key is missing).
 
@@ -140,21 +149,63 @@ def with_request_ids(requests: DataFrame) -> DataFrame:
     return materialise(named.withColumn("request_id", F.coalesce("request_id", F.uuid())), "requests")
 
 
-def append(df: DataFrame, path: str, schema: StructType) -> int:
+def append(df: DataFrame, path: str, schema: StructType, batch_id: str | None = None) -> int:
     """Append rows of a declared schema; returns how many were refused.
 
     Rows without a required value don't fit the table. None is lost: they go to the table beside it,
-    `<path>-refused`, with the columns of the schema.
+    `<path>-refused`, with the columns of the schema. With a batch_id both parts of the batch have a folder of their own that a
+    replay of the same batch replaces, so an append that failed half way or is run twice leaves one copy;
+    `read_log` reads such a table.
     """
     typed = materialise(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), "appended")
     fitting, refused = conform(typed, schema)
-    fitting.write.mode("append").parquet(path)
     n = refused.count()
+    if batch_id is not None:
+        fitting.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        refused.write.mode("overwrite").parquet(f"{path}-refused/{BATCH}={batch_id}")
+        return n
+    fitting.write.mode("append").parquet(path)
     if n:
         refused.write.mode("append").parquet(f"{path}-refused")
     return n
 
 
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a table that batches were appended to."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def write_clustered(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Store rows so that those of a key are found without reading the others: a folder per bucket of the key's hash,
+    each sorted by key and with a Parquet bloom filter on it.
+
+    A write replaces the table. buckets: folders; about one per 128 MB is right. Rows of one bucket are split over
+    files by key range where there are many."""
+    part = bucket_of(F.col(key), buckets)
+    (df.withColumn(BUCKET, part).repartitionByRange(BUCKET, key).sortWithinPartitions(BUCKET, key)
+     .write.mode("overwrite").partitionBy(BUCKET)
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path))
+    df.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}-layout")
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_clustered(spark: SparkSession, path: str, schema: StructType, key: str, keys: DataFrame | str) -> DataFrame:
+    """The stored rows of one key, or of a table of keys.
+
+    One key: the scan opens one bucket (a partition filter) and skips row groups by their bloom filters and bounds. A
+    table of keys is joined by bucket and key, so that buckets without a wanted key are skipped at run time."""
+    buckets = spark.read.schema("buckets int").parquet(f"{path}-layout").first().buckets
+    stored = spark.read.schema(StructType(schema.fields + [StructField(BUCKET, IntegerType())])).parquet(path)
+    if isinstance(keys, str):
+        number = spark.range(1).select(bucket_of(F.lit(keys), buckets)).first()[0]
+        return stored.filter((F.col(BUCKET) == number) & (F.col(key) == keys)).select(*schema.names)
+    wanted = keys.select(F.col(key), bucket_of(F.col(key), buckets).alias(BUCKET)).distinct()
+    return stored.join(wanted, [BUCKET, key], "left_semi").select(*schema.names)
+
+
 def hash_supervisors(raw: DataFrame) -> DataFrame:
     """Supervisor rows as stored: PIN hashed, role list as JSON text, counters at zero.
 
