@@ -132,11 +132,11 @@ def test_injection_cases(spark):
 def test_needed_words_hold_for_every_match(i):
     pattern, ignore_case, _ = injection.RULES[i]
 
-    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+    @settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
     @given(st.from_regex(re.compile(pattern, re.IGNORECASE if ignore_case else 0), fullmatch=True))
     def check(sample):
         low = sample.translate(str.maketrans(*injection.FOLDED)).lower()
-        assert any(w in low for w in injection.NEEDED[i])
+        assert all(any(w in low for w in words) for words in injection.NEEDED[i])
 
     check()
 

@@ -64,34 +64,42 @@ RULES: list[tuple[str, bool, str]] = [
 # --- end of fixed values ---
 
 
-# Words of which a text must contain at least one before a rule can match it, in rule order. A plain
-# substring test is many times cheaper than the pattern, and most texts fail all of them.
-NEEDED: list[list[str]] = [
-    ["ignore"],
-    ["disregard"],
-    ["forget"],
-    ["new", "updated", "revised"],
-    ["you are now", "act as", "pretend", "roleplay as", "imagine you are"],
-    ["grant", "give", "assign", "elevate"],
-    ["bypass", "override", "circumvent", "skip", "disable"],
-    ["show"],
-    ["restricted", "hidden", "sensitive", "protected"],
-    ["system"],
-    ["user"],
-    ["assistant"],
-    ["prompt", "instruction", "context", "configuration", "rule", "constraint"],
-    ["what"],
-    ["top_k"],
-    ["top_k", "limit", "max", "timeout", "threshold"],
-    ["return"],
-    ["--", ";", "union", "="],
-    ["__import__", "eval", "exec", "os.system", "subprocess"],
-    ["<script"],
-    ["base64"],
-    ["\\x"],
-    ["developer", "jailbreak", "dan", "do"],
-    ["hypothetically", "theoretically", "for"],
-    ["this"],
+# What a text must contain before a rule can match it, in rule order: of each group at least one word. A plain
+# substring test is many times cheaper than the pattern, groups are tried in turn, and most texts fail an early one.
+_EARLIER = ["previous", "prior", "above", "earlier"]
+_ORDERS = ["instruction", "prompt", "rule", "constraint"]
+_SECRET = ["hidden", "restricted", "sensitive", "protected"]
+_DATA = ["field", "data", "record", "column", "information"]
+NEEDED: list[list[list[str]]] = [
+    [["ignore"], _EARLIER, _ORDERS],
+    [["disregard"], [*_EARLIER, "your"]],
+    [["forget"], [*_EARLIER, "your"], _ORDERS],
+    [["instruction", "rule", "directive", "order", "task"], ["new", "updated", "revised"], ["are", "is", "follow", ":"]],
+    [["you are now", "act as", "pretend", "roleplay as", "imagine you are"],
+     ["admin", "root", "superuser", "system", "god", "unrestricted"]],
+    [["access", "permission", "right", "privilege"], ["grant", "give", "assign", "elevate"], ["admin", "root", "superuser", "full", "all"]],
+    [["bypass", "override", "circumvent", "skip", "disable"],
+     ["rbac", "security", "access control", "permission", "role", "filter", "gate", "hitl", "audit"]],
+    [["show"], ["all", "every", *_SECRET], _DATA],
+    [_SECRET, ["all", "every"], _DATA],
+    [[":"], ["system"]],
+    [[":"], ["user"]],
+    [[":"], ["assistant"]],
+    [["prompt", "instruction", "context", "configuration", "rule", "constraint"],
+     ["reveal", "print", "display", "output", "show", "repeat", "echo"]],
+    [["what"], _ORDERS, ["your", "the"]],
+    [["top_k"], ["="]],
+    [["top_k", "limit", "max", "timeout", "threshold"], ["set", "change", "modify", "update", "override"], ["=", "to"]],
+    [["return"], ["record", "row", "result", "employee"]],
+    [["--", ";", "union", "="], ["--", "drop", "delete", "insert", "update", "select", "1"]],
+    [["__import__", "eval", "exec", "os.system", "subprocess"]],
+    [["<script"]],
+    [["base64"], [":"]],
+    [["\\x"]],
+    [["mode", "jailbreak", "anything"]],
+    [["hypothetically", "theoretically", "story", "test", "demo", "simulation"], ["show", "give", "reveal", "output", "return"],
+     ["all", "every", "hidden", "sensitive"]],
+    [["test", "demo", "simulation", "example", "hypothetical"], ["this"]],
 ]
 # The non-ASCII letters that case-insensitive matching equates with ASCII ones.
 FOLDED = ("\u017f\u212a\u0130\u0131", "skii")
@@ -102,9 +110,9 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, *FOLDED))
 
 
-def _possible(low: Column, words: Sequence[str]) -> Column:
-    found = [F.contains(low, F.lit(w)) for w in words]
-    return reduce(lambda a, b: a | b, found)
+def _possible(low: Column, groups: Sequence[Sequence[str]]) -> Column:
+    found = [reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) for words in groups]
+    return reduce(lambda a, b: a & b, found)
 
 
 def java_pattern(pattern: str, ignore_case: bool) -> str:
@@ -120,8 +128,8 @@ def injection_rule(text: Column, low: Column | None = None) -> Column:
     """
     low = folded(text) if low is None else low
     chain = F
-    for i, ((pattern, ignore_case, _), words) in enumerate(zip(RULES, NEEDED, strict=True)):
-        chain = chain.when(_possible(low, words) & text.rlike(java_pattern(pattern, ignore_case)), i)
+    for i, ((pattern, ignore_case, _), groups) in enumerate(zip(RULES, NEEDED, strict=True)):
+        chain = chain.when(_possible(low, groups) & text.rlike(java_pattern(pattern, ignore_case)), i)
     return chain
 
 
