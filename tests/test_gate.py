@@ -269,7 +269,7 @@ def settled_by_pieces(rows, cuts, start):
     if walked:
         for batch in tries._resolve(iter([pa.RecordBatch.from_pylist(walked, pa.schema(
                 [(n, pa.string() if n in ("supervisor_id", "request_id", "digest") else pa.bool_() if n in (
-                    "ok", "shut", "happens", "locks", "open") else pa.int64()) for n in [*names, "first"]]))])):
+                    "ok", "shut", "happens", "locks", "open") else pa.int64()) for n in names]))])):
             for r in batch.to_pylist():
                 out[r["us"]] = r
     return out, len([r for r in open_ if not r["mark"]])
@@ -293,7 +293,7 @@ def test_any_cuts_settle_the_same(seed, start, cuts):
         ok = rng.random() < 0.55
         won |= {request} if ok else set()
         rows.append({"supervisor_id": "s", "request_id": request, "us": len(rows), "at": len(rows), "attempt_no": no[request], "ok": ok,
-                     "digest": "", "no": no[request], "start": start, "shut": False})
+                     "digest": "", "no": no[request], "start": start, "shut": False, "first": None})
     for row in rows:
         row["n"] = no[row["request_id"]]
     whole, _ = settled_by_pieces(rows, [], start)
@@ -312,7 +312,7 @@ def test_only_rows_at_the_cuts_stay_open():
     for r in range(3000):
         for n, ok in enumerate([False, True][rng.random() < 0.7:], 1):
             rows.append({"supervisor_id": "s", "request_id": f"q{r}", "us": len(rows), "at": len(rows), "attempt_no": n, "ok": ok,
-                         "digest": "", "no": n, "n": 0, "start": 0, "shut": False})
+                         "digest": "", "no": n, "n": 0, "start": 0, "shut": False, "first": None})
     for row in rows:
         row["n"] = sum(r["request_id"] == row["request_id"] for r in rows[max(0, row["at"] - 2):row["at"] + 3])
     _, n_open = settled_by_pieces(rows, [700, 1400, 2100, 2800], 0)
