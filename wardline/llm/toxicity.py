@@ -12,7 +12,8 @@ score; 0.5 is the calibrated threshold, a missed toxic row counting TOXIC_WEIGHT
 Training uses a sample of the labelled rows whose crc32(doc_id) mod 5 is not 0: at most SAMPLE_ROWS of each
 label, chosen by a hash of the id, whatever their length. Grams, windows and lengths are counted in Spark
 jobs, and counts, at most SAMPLE_WINDOWS different windows of each label, reach the driver. Half of the
-sample trains the dictionaries, the other half the table and the logistic model, weighted back to the labels' true shares. The
+sample trains the dictionaries, the other half the table and the logistic model, weighted back to the labels' true shares; in it
+each of two folds is described by the other's table, so that no row is weighed by evidence of its own. The
 toxic dictionary is trained on the windows that share a stretch of GRAM characters found far more often in toxic than in
 ordinary rows, the ordinary one on the windows of ordinary rows.
 
@@ -24,11 +25,12 @@ rows count once, as toxic if any says so; null labels count for nothing.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8192, 32768, 19
 LONGEST = 20  # window bytes told apart
 BACKOFF = 4.0  # windows that the coarser table is worth in the finer one
 TOXIC_WEIGHT = 3.0
+RIDGE = 4.0  # holds back what a handful of rows would say
 MEMO_WINDOWS = 400_000
 _HEAD, _TAIL = "<window begins> ", " <the window ends>"
 _OUTER = " .,!?;:|*$%&#\"'()[]{}<>«»„“”¡¿-_=+/\\"
@@ -178,9 +181,10 @@ def scores(described: np.ndarray, weights: list[float]) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[float]:
-    """Weighted, lightly ridged logistic regression by Newton steps."""
+    """Weighted, ridged logistic regression by Newton steps."""
     x = np.column_stack((x, np.ones(len(x))))
-    ridge = np.diag([0.5] * FEATURES + [0.01])
+    w = w * (len(w) / w.sum())  # labels weigh by their shares, the ridge by the number of rows seen
+    ridge = np.diag([RIDGE] * FEATURES + [0.01])
     beta = np.zeros(FEATURES + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -230,13 +234,29 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     if len({y for y in (0, 1) for _, d in of_label[y] if d in held}) < 2:
         fit_on = learn
     model = Model(*_dictionaries(learn), prior=prior)
-    model.evidence = calibrate(_cells(fit_on, model))
-    fit = sorted(described_by(fit_on, model).collect())
+    # Two folds by turns of each label: a row is described by evidence that its own windows did not enter.
+    turns = {y: [d for _, d in of_label[y] if not held or fit_on is learn or d in held] for y in (0, 1)}
+    first = F.col("doc_id").isin(sorted(d for y in (0, 1) for d in turns[y][::2]))
+    folds = [fit_on.filter(first), fit_on.filter(~first)]
+    cells = [_cells(rows, model) for rows in folds]
+    model.evidence = calibrate(_summed(*cells))
+    halves = zip(folds, reversed(cells)) if min(map(len, turns.values())) > 1 else [(fit_on, _summed(*cells))]
+    fit = sorted(r for rows, other in halves
+                 for r in described_by(rows, replace(model, evidence=calibrate(other))).collect())
     x, y = np.array([r[1:] for r in fit]), np.array([r[0] for r in fit])
     model.weights = _logistic(x, y, np.array([shares[int(v)] * (TOXIC_WEIGHT if v else 1.0) for v in y]))
     return model
 
 
+def _summed(*counts: list[tuple[Cell, int, int]]) -> list[tuple[Cell, int, int]]:
+    sums: dict[Cell, list[int]] = {}
+    for cell, n0, n1 in itertools.chain(*counts):
+        both = sums.setdefault(cell, [0, 0])
+        both[0] += n0
+        both[1] += n1
+    return [(cell, n0, n1) for cell, (n0, n1) in sorted(sums.items())]
+
+
 def _cells(rows: DataFrame, model: Model) -> list[tuple[Cell, int, int]]:
     """(cell, n0, n1): rows' different windows in each cell, by label; at most LONGEST times the pairs of compressed
     lengths of a window, which are bounded by SPAN."""
