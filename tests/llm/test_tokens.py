@@ -118,6 +118,29 @@ def test_byte_bpe_of_long_pieces():
     assert [bytebpe._numbers(s).tolist() for s in codec.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("letters, size", [("etaoinsr", 100_000), ("etaoinsr", 1_000_000), ("a", 1_000_000), ("ab", 20_000), ("=-", 5000), ("é漢a", 3000)])
+def test_byte_bpe_of_unbroken_words(letters, size):
+    """Windows of a long word join to what the whole word gives, in bounded memory."""
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=bytebpe.read_ranks(BYTE))
+    codec = bytebpe.Codec(bytebpe.read_ranks(BYTE), public_tokenizers.PATTERN)
+    text = "".join(np.random.default_rng(size).choice(list(letters), size))
+    assert bytebpe._numbers(codec.encode([f"one {text} two"])[0]).tolist() == reference.encode_ordinary(f"one {text} two")
+
+
+def test_windows_equal_the_whole_piece_under_any_ranks():
+    """Ranks in random order, so that merged tokens may come before their parts."""
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        tokens = {"".join(rng.choice(list("abc"), n)).encode() for n in rng.integers(2, 6, 60)}
+        order = rng.permutation(256 + len(tokens)).tolist()
+        ranks = dict(zip([bytes([i]) for i in range(256)] + sorted(tokens), order))
+        codec = bytebpe.Codec(ranks, public_tokenizers.PATTERN)
+        for _ in range(4):
+            word = "".join(rng.choice(list("abc"), 700)).encode()
+            whole, stitched = codec._encoded([word])[word], codec._stitched([word])[word]
+            assert whole.tolist() == stitched.tolist()
+
+
 def test_slices_keep_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * (i * 37 % 90) for i in range(50)])], ["a", "b"])
     parts = list(common.pieces(iter([batch]), 200))

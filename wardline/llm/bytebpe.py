@@ -7,6 +7,11 @@ leftmost first, until no piece has a pair left. All occurrences of that pair are
 step where this provably equals one at a time, i.e. where no token that contains the merged one has a
 smaller rank. Pieces are cut beforehand at byte pairs that no token contains, which no merge can cross.
 
+A piece of LONG_PIECE bytes or more is contracted in overlapping windows. Ids are the encoding of a piece exactly if each two
+neighbours are the encoding of their joined bytes, so two windows that share a token at the same place are
+joined at it without a difference; windows that share none are united and contracted again, at worst up to the
+whole piece. Windows go to the database in groups of bounded work.
+
 Null and empty texts have no ids. Ranks must cover all 256 bytes; every text then has ids, and decoding gives
 its UTF-8 bytes back.
 """
@@ -27,13 +32,15 @@ from wardline.llm.common import pieces, texts, worker_memo
 
 MEMO_PIECES = 500_000
 DECODE_IDS = 2_000_000
+LONG_PIECE, STEP = 512, 30  # windows of two steps
+GROUP_SQUARES = 8_000_000  # sum of the squared lengths of pieces contracted at once
 # White space to the pattern is Unicode's property White_Space.
 _SPACE = "\t-\r \x85\xa0  -     　"
 # A chunk of the text: the pattern never matches across two of them.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 _CONTRACT = """
-WITH RECURSIVE step(round, piece, pos, token) AS (
+WITH RECURSIVE step(round, piece, pos, token) USING KEY (piece, pos) AS (
   SELECT 0, piece, pos, token FROM fresh
   UNION ALL
   SELECT round + 1, piece, pos, CASE WHEN taken THEN lowest ELSE token END
@@ -110,6 +117,8 @@ class Codec:
         for t in ranks:
             raw = np.frombuffer(t, np.uint8)
             self.joined[raw[:-1], raw[1:]] = True
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '600MB'; SET temp_directory = ''")
@@ -136,19 +145,70 @@ class Codec:
         bounds = np.append(first, len(raw))
         keys = [raw[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
         different = dict.fromkeys(keys)
-        short = [k for k in different if len(k) < 64]
-        long = [k for k in different if len(k) >= 64]
+        found = self._encoded([k for k in different if len(k) < LONG_PIECE])
+        found |= self._stitched([k for k in different if len(k) >= LONG_PIECE])
+        word_first = np.concatenate((part[np.cumsum(sizes) - sizes], [len(keys)]))
+        return [np.concatenate([found[k] for k in keys[i:j]]) for i, j in zip(word_first, word_first[1:])]
+
+    def _encoded(self, keys: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of each key, contracted in groups of bounded work."""
         found = {}
+        short = [k for k in keys if len(k) < 64]
+        long = [k for k in keys if len(k) >= 64]
         for keys_of, query, fresh in ((short, _CONTRACT_SHORT, self._short_rows), (long, _CONTRACT, self._long_rows)):
-            if keys_of:
-                self.db.register("fresh", fresh(keys_of))
+            work = np.cumsum([len(k) ** 2 for k in keys_of])
+            begin = 0
+            while begin < len(keys_of):
+                before = work[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(work, before + GROUP_SQUARES, "right")))
+                group = keys_of[begin:end]
+                begin = end
+                self.db.register("fresh", fresh(group))
                 got = self.db.execute(query).to_arrow_table().sort_by("piece")["ids"]
                 self.db.unregister("fresh")
                 flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got.chunks])
                 at = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(got).to_numpy())))
-                found |= {k: flat[x:y] for k, x, y in zip(keys_of, at, at[1:])}
-        word_first = np.concatenate((part[np.cumsum(sizes) - sizes], [len(keys)]))
-        return [np.concatenate([found[k] for k in keys[i:j]]) for i, j in zip(word_first, word_first[1:])]
+                found |= {k: flat[x:y] for k, x, y in zip(group, at, at[1:])}
+        return found
+
+    def _stitched(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of each long word, from windows joined at common tokens."""
+        spans = {w: [(s, min(s + 2 * STEP, len(w))) for s in range(0, len(w) - STEP, STEP)] for w in words}
+        known: dict[bytes, np.ndarray] = {}
+        result = {}
+        while spans:
+            known |= self._encoded(list({w[s:e] for w, of in spans.items() for s, e in of} - known.keys()))
+            wider = {}
+            for w, of in spans.items():
+                result[w], again = self._joined([(s, known[w[s:e]]) for s, e in of], of)
+                if again:
+                    wider[w] = again
+            spans = wider
+        return result
+
+    def _joined(self, windows: list[tuple[int, np.ndarray]], spans: list[tuple[int, int]]):
+        """The ids that follow from windows (start, ids), or the wider spans to try instead."""
+        kept, again, failed, grown = [], [spans[0]], False, False
+        begin, places = 0, None
+        for i, (start, ids) in enumerate(windows):
+            ends = np.cumsum(self.size[ids])
+            here = (start + ends - self.size[ids] << 32) + ids
+            if i:
+                _, left, right = np.intersect1d(places, here, True, return_indices=True)
+                if len(left):
+                    kept.append(windows[i - 1][1][begin:left[0]])
+                    begin = right[0]
+                failed |= not len(left)
+                if len(left) or grown:  # a span grows by one neighbour a round
+                    again.append(spans[i])
+                    grown = False
+                else:
+                    again[-1] = (again[-1][0], spans[i][1])
+                    grown = True
+            places = here
+        if failed:
+            return None, again
+        return np.concatenate((*kept, windows[-1][1][begin:])), None
 
     def _positions(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         length = np.array([len(k) for k in keys], np.int64)
