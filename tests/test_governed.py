@@ -110,6 +110,13 @@ def test_nothing_stored_approves_without_records(spark):
     assert (a["x"].decision, a["x"].records_returned, a["x"].hitl_triggered, a["x"].error) == ("APPROVED", 0, False, None)
 
 
+@pytest.mark.parametrize("second", ["a", None])
+def test_repeated_or_missing_ids_are_refused(spark, second):
+    reqs = [(i, n, "General_Staff", "show me staff employment information", V) for n, i in enumerate(["a", second, "b"])]
+    with pytest.raises(ValueError, match=r"'a' \(2 rows\)" if second else r"None \(1 rows\)"):
+        run(spark, reqs)
+
+
 def test_typed_requests(spark):
     _, a = run(spark, [("x", 1, " General_Staff ", "  ", V), ("y", 2, "General_Staff", " who ", V)], typed=True)
     assert a["x"].query == "Show me employee information" and a["y"].query == "who"

@@ -30,7 +30,7 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
                        supervisors: DataFrame, managers: DataFrame, attempts: DataFrame,
                        prior_log: DataFrame | None = None, k: int = policy.TOP_K,
                        where: Column | None = None, fallback_contact: str = "",
-                       typed: bool = False) -> Outcome:
+                       typed: bool = False, check_ids: bool = True) -> Outcome:
     """Decide every request. typed: requests were typed in by hand, so roles are stripped and an
     empty query becomes the stock question. A requester_id column keeps a requester from approving
     the own request.
@@ -40,7 +40,12 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
     is never read. Decisions are taken on narrow tables (a row or k rows per request, no text and
     no vector), each written once for the branches that read it; the query text is read a
     second time for the audit rows instead of travelling along.
+
+    Every join goes by request_id, so a batch with a repeated or missing one is refused as a whole. check_ids:
+    False where the caller answers for them, as a stream must not stop at a request delivered twice.
     """
+    if check_ids:
+        require_ids(requests)
     if typed:
         requests = (requests.withColumn("user_role", text.strip(F.col("user_role")))
                     .withColumn("query", text.default_query(F.col("query"))))
@@ -57,6 +62,15 @@ def governed_retrieval(requests: DataFrame, employees: DataFrame, embeddings: Da
         supervisors=gate.supervisor_state(supervisors, tried))
 
 
+def require_ids(requests: DataFrame) -> None:
+    """ValueError naming some request ids that are held by several rows or are null; only ids are read."""
+    bad = (requests.groupBy("request_id").agg(F.count("*").alias("n"))
+           .filter((F.col("n") > 1) | F.col("request_id").isNull()).limit(5).collect())
+    if bad:
+        named = ", ".join(f"{r['request_id']!r} ({r['n']} rows)" for r in bad)
+        raise ValueError(f"request_id must be unique and present in every row: {named}")
+
+
 def assess(requests: DataFrame, employees: DataFrame, embeddings: DataFrame, prior_log: DataFrame | None = None,
            k: int = policy.TOP_K, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Everything up to the gate: (one narrow row per request, keys and scores of the records it may get)."""

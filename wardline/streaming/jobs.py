@@ -195,7 +195,7 @@ def audit_stream(requests: DataFrame, employees: DataFrame, embeddings: DataFram
         prior = _state(spark, root, "allowed", epoch, schemas.RATE_LIMIT_LOG)
         before = supervisors if epoch == 0 else spark.read.schema(supervisors.schema).parquet(
             f"{root}/supervisors/epoch={epoch - 1}")
-        out = governed_retrieval(on_time, employees, embeddings, before, managers, attempts, prior)
+        out = governed_retrieval(on_time, employees, embeddings, before, managers, attempts, prior, check_ids=False)
         _epoch(out.audit.unionByName(refused_late(late)), root, "audit", epoch)
         _epoch(out.released, root, "released", epoch)
         _epoch(out.ratelog, root, "ratelog", epoch)
