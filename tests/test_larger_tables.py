@@ -1,7 +1,12 @@
 """What larger tables bring: folders of files, many rows of a key, copies, many requests."""
 
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+
+from wardline.operators import retrieval
 from wardline.plans import catalogue
 from wardline.sources import mapping as m
 
@@ -14,3 +19,28 @@ def test_stream_guard_reads_a_folder_of_files(spark, small, tmp_path):
     expect = {r.request_id: r.flag for r in catalogue.stream_guard(spark, small).collect()}
     assert {r.request_id: r.flag for r in catalogue.stream_guard(spark, where).collect()} == expect
     assert len(expect) == m.requests(spark, small).count()
+
+
+def test_scan_of_many_vectors_is_exact_in_little_memory():
+    """Copies, all-zero queries and queries that are stored, against scores in double precision; the scan holds tiles only."""
+    rng = np.random.default_rng(3)
+    stored = rng.normal(size=(40_000, 16)).astype(np.float32)
+    stored[rng.random(40_000) < 0.3] = stored[7]
+    asked = stored[rng.integers(0, 40_000, 300)].astype(float)
+    asked[::9] = 0.0
+    names = pa.array([f"S{i:06d}" for i in range(40_000)])
+    vectors = pa.ListArray.from_arrays(np.arange(0, stored.size + 1, 16, dtype=np.int32), pa.array(stored.ravel()))
+    unit = retrieval._matrix(vectors)
+    queries = asked / retrieval._lengths(asked)[:, None]
+    tracemalloc.start()
+    keys, kept = retrieval._sorted_keys(names, vectors, 5)
+    tracemalloc.reset_peak()
+    got = retrieval._best(pa.array([f"{i:03d}" for i in range(300)]), queries, keys, kept, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept) < 30_000 and peak < 30e6  # all scores of the 300 take 96 MB
+    scores = np.round(queries @ unit.T, 12)
+    for i in range(300):
+        expect = np.lexsort((np.arange(40_000), -scores[i]))[:5]
+        assert got["nric"].to_pylist()[i * 5:i * 5 + 5] == [names[j].as_py() for j in expect]
+        assert np.allclose(got["score"].to_numpy()[i * 5:i * 5 + 5], scores[i][expect], rtol=0, atol=2e-12)

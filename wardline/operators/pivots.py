@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import policy
-from wardline.operators.retrieval import _SCORED, _best, _ids, _matrix, _merge, _sorted_keys
+from wardline.operators.retrieval import _SCORED, _matrix, _meet, _merge
 from wardline.session import materialise
 
 MAX_PIVOTS = 4096
 SLACK = 1e-9  # float noise of a distance
 _PLACED = "block int, distance double"
+MEET_REQUESTS, MEET_ROWS = 16_384, 65_536  # about as many of a block meet in one task
 
 
 @dataclass(frozen=True)
@@ -95,57 +96,43 @@ def search(requests: DataFrame, index: Index, k: int = policy.TOP_K, where: Colu
 
     asked = materialise(requests.select("request_id", "query_vec").filter(F.col("query_vec").isNotNull()), "asked")
     rows = index.rows if where is None else index.rows.filter(where)
-    sizes = rows.groupBy("block").agg(F.count("*").alias("size"))  # a row per pivot; blocks without a row go
+    # a row per pivot; blocks without a row go
+    sizes = materialise(rows.groupBy("block").agg(F.count("*").alias("size")), "sizes")
     bounds = materialise(asked.mapInArrow(bound, "request_id string, block int, high double").join(sizes, "block"), "bounds")
     promising = Window.partitionBy("request_id").orderBy(F.desc("high"), "block").rowsBetween(Window.unboundedPreceding, -1)
     first = (bounds.withColumn("_before", F.coalesce(F.sum("size").over(promising), F.lit(0)))
              .filter(F.col("_before") < k).select("request_id", "block"))
-    near = materialise(_scored(asked, first, rows, k), "near")
+    near = materialise(_scored(asked, first, rows, sizes, k), "near")
     kth = _merge(near, k).groupBy("request_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     reach = bounds.join(kth, "request_id", "left").filter(
         F.col("n").isNull() | (F.col("n") < k) | (F.col("high") >= F.col("least"))).select("request_id", "block")
     rest = materialise(reach.join(first, ["request_id", "block"], "left_anti"), "rest")
-    best = _merge(near.unionByName(_scored(asked, rest, rows, k)), k)
+    best = _merge(near.unionByName(_scored(asked, rest, rows, sizes, k)), k)
     read = first.unionByName(rest).groupBy("request_id").agg(F.count("*").alias("n_read"))
     report = read.withColumn("n_blocks", F.lit(len(filled)).cast("long")).select("request_id", "n_blocks", "n_read")
     return best, report
 
 
-def _scored(asked: DataFrame, pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The k best of every (request, block) pair; the requests of a block meet its rows once, streamed in batches.
+def _scored(asked: DataFrame, pairs: DataFrame, rows: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """The k best of every (request, block) pair, and of every part of a large block.
 
-    Blocks are split over tasks by a hash of the key, and requests copied to the parts, so a large block is no single task."""
-    parts = asked.sparkSession.sparkContext.defaultParallelism
-    wanted = rows.join(pairs.select("block").distinct(), "block", "left_semi")  # prunes folders at run time
-    split = F.pmod(F.xxhash64("nric"), F.lit(parts)).cast("int")
-    stored = wanted.select("block", split.alias("part"), "nric", "embedding", F.lit(True).alias("is_row"))
-    queries = pairs.join(asked, "request_id").select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "request_id", "query_vec", F.lit(False).alias("is_row"))
-    both = (queries.unionByName(stored, allowMissingColumns=True).repartition("block", "part")
-            .sortWithinPartitions("block", "part", "is_row"))
+    A block's rows are cut into parts and its requests into chunks, as many as their numbers ask for, and every part meets
+    every chunk in one task: a large block is no single task, and no task holds more than a part and a chunk."""
+    def cuts(column: str, most: int) -> Column:
+        return F.ceil(F.col(column) / most).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, ready = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "part", "is_row")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                some, of = batch.slice(start, end - start), (key[0, start], key[1, start])
-                if of != at:
-                    at, held, ready = of, [], None
-                if not key[2, start]:
-                    held.append(some)
-                    continue
-                if ready is None and held:
-                    table = pa.Table.from_batches(held)
-                    ready = _ids(table["request_id"]), _matrix(table["query_vec"])
-                if ready is not None:
-                    keys, m = _sorted_keys(some["nric"], some["embedding"])
-                    step = max(1, 4_000_000 // len(keys))
-                    for i in range(0, len(ready[0]), step):
-                        yield _best(ready[0][i:i + step], ready[1][i:i + step], keys, m, k)
-
-    columns = ["block", "part", "is_row", "request_id", "query_vec", "nric", "embedding"]
-    return both.select(columns).mapInArrow(run, _SCORED)
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def some(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    met = (pairs.groupBy("block").agg(F.count("*").alias("asked")).join(sizes, "block")  # a row per pivot at most
+           .select("block", cuts("asked", MEET_REQUESTS).alias("chunks"), cuts("size", MEET_ROWS).alias("parts")))
+    queries = (pairs.join(met, "block").join(asked, "request_id")
+               .select("block", some("request_id", "chunks").alias("chunk"), every("parts").alias("part"), "request_id", "query_vec"))
+    # the join prunes folders at run time
+    stored = rows.join(met, "block").select(
+        "block", every("chunks").alias("chunk"), some("nric", "parts").alias("part"), "nric", "embedding")
+    at = ("block", "chunk", "part")
+    return queries.groupBy(*at).cogroup(stored.groupBy(*at)).applyInArrow(lambda a, b: _meet(a, b, k), _SCORED)
