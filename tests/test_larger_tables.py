@@ -5,10 +5,13 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Row
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from wardline.operators import retrieval
 from wardline.plans import catalogue
 from wardline.sources import mapping as m
+from wardline.streaming import lockout_state
 
 
 def test_stream_guard_reads_a_folder_of_files(spark, small, tmp_path):
@@ -44,3 +47,77 @@ def test_scan_of_many_vectors_is_exact_in_little_memory():
         expect = np.lexsort((np.arange(40_000), -scores[i]))[:5]
         assert got["nric"].to_pylist()[i * 5:i * 5 + 5] == [names[j].as_py() for j in expect]
         assert np.allclose(got["score"].to_numpy()[i * 5:i * 5 + 5], scores[i][expect], rtol=0, atol=2e-12)
+
+
+class Store:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.items, self.timers = 0, None, [], []
+
+    def getValueState(self, name, schema):
+        return Value(self)
+
+    def getListState(self, name, schema):
+        return Entries(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Value:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.value = value
+
+
+class Entries(Value):
+    def get(self):
+        self.store.calls += 1
+        return iter(self.store.items)
+
+    def appendValue(self, value):
+        self.store.calls += 1
+        self.store.items.append(value)
+
+    def put(self, values):
+        self.store.calls += 1
+        self.store.items = list(values)
+
+    def clear(self):
+        self.put([])
+
+
+def test_lockout_state_asks_the_store_a_few_times_for_many_results(spark):
+    """Results of 40 supervisors in one bucket, in two epochs and out of order, as one pass in time order would decide them."""
+    rng = np.random.default_rng(5)
+    rows = [Row(supervisor_id=f"SUP{s:02d}", request_id=f"r{i:03d}", attempt_no=1, us=int(rng.integers(0, 10**9)), ok=bool(rng.random() < 0.4),
+                failed_before=0, shut=s == 3) for s in range(40) for i in range(25)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    store, account = Store(), lockout_state.Accounts([])
+    account.init(store)
+    got = []
+    for epoch, part in enumerate((rows[:600], rows[600:])):
+        got += account.handleInputRows((0,), iter(part), TimerValues(-1, 0))
+        clock = 10**7 if epoch else 0  # in ms: nothing is due in the first epoch
+        for at in sorted(t for t in store.timers if t < clock):
+            got += account.handleExpiredTimer((0,), TimerValues(-1, clock), ExpiredTimerInfo(at))
+    assert store.calls < 20 and not store.items and len(got) == len(rows)
+    failed, locked, expect = {}, set(), {}
+    for r in sorted(rows, key=lambda r: (r.us, r.request_id)):
+        s = r.supervisor_id
+        if r.shut or s in locked:
+            expect[s, r.request_id] = (None, False)
+            continue
+        failed[s] = 0 if r.ok else failed.get(s, 0) + 1
+        locked |= {s} if failed[s] >= 3 else set()
+        expect[s, r.request_id] = (failed[s], True)
+    assert {(r.supervisor_id, r.request_id): (r.failed_after, r.counted) for r in got} == expect
