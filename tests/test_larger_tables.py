@@ -2,13 +2,14 @@
 
 import os
 import tracemalloc
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from wardline.operators import retrieval
+from wardline.operators import pivots, retrieval
 from wardline.plans import catalogue
 from wardline.sources import mapping as m
 from wardline.streaming import lockout_state
@@ -121,3 +122,26 @@ def test_lockout_state_asks_the_store_a_few_times_for_many_results(spark):
         locked |= {s} if failed[s] >= 3 else set()
         expect[s, r.request_id] = (failed[s], True)
     assert {(r.supervisor_id, r.request_id): (r.failed_after, r.counted) for r in got} == expect
+
+
+def test_a_task_of_the_pivot_search_holds_a_part_and_a_chunk(spark, monkeypatch, tmp_path):
+    """Whatever the number of requests of a block: here 90 in chunks of about 8, and blocks in parts of about 16."""
+    monkeypatch.setattr(pivots, "MEET_REQUESTS", 8)
+    monkeypatch.setattr(pivots, "MEET_ROWS", 16)
+    seen, meet = str(tmp_path), pivots._meet
+
+    def noted(a, b, k):
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as out:
+            out.write(f"{a.num_rows} {b.num_rows}")
+        return meet(a, b, k)
+
+    monkeypatch.setattr(pivots, "_meet", noted)
+    rng = np.random.default_rng(6)
+    vectors = [(f"S{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(200, 6)).astype(np.float32))]
+    asked = [(f"r{i:02d}", v.tolist()) for i, v in enumerate(rng.normal(size=(90, 6)).astype(np.float32))]
+    requests = spark.createDataFrame(asked, "request_id string, query_vec array<float>")
+    stored = spark.createDataFrame(vectors, "nric string, embedding array<float>")
+    got = pivots.search(requests, pivots.build(stored, 3), 4)[0].select("request_id", "nric").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in retrieval.topk(requests, stored, 4).select("request_id", "nric").collect()}
+    sizes = [tuple(map(int, open(f"{seen}/{f}").read().split())) for f in os.listdir(seen)]
+    assert max(a for a, _ in sizes) <= 24 and max(b for _, b in sizes) <= 40
