@@ -145,3 +145,35 @@ def test_a_task_of_the_pivot_search_holds_a_part_and_a_chunk(spark, monkeypatch,
     assert {tuple(r) for r in got} == {tuple(r) for r in retrieval.topk(requests, stored, 4).select("request_id", "nric").collect()}
     sizes = [tuple(map(int, open(f"{seen}/{f}").read().split())) for f in os.listdir(seen)]
     assert max(a for a, _ in sizes) <= 24 and max(b for _, b in sizes) <= 40
+
+
+def test_requests_of_a_task_are_held_as_they_came():
+    """Not as unit vectors in double precision, which take 20 MB here and 20 more while they are made."""
+    rng = np.random.default_rng(8)
+
+    def table(n, key, vector):
+        flat = pa.array(rng.normal(size=n * 64).astype(np.float32))
+        return pa.table({key: [f"{i:06d}" for i in range(n)], vector: pa.ListArray.from_arrays(np.arange(0, n * 64 + 1, 64, dtype=np.int32), flat)})
+
+    asked, stored = table(40_000, "request_id", "query_vec"), table(300, "nric", "embedding")
+    tracemalloc.start()
+    got = retrieval._meet(asked, stored, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 80_000 and peak < 25e6
+    scores = retrieval._matrix(asked["query_vec"]) @ retrieval._matrix(stored["embedding"]).T
+    assert np.allclose(got["score"].to_numpy()[::2], scores.max(axis=1), rtol=0, atol=2e-12)
+
+
+def test_requests_whose_heaps_are_too_many_are_not_held_by_every_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    asked = spark.createDataFrame([(f"r{i:02d}", rng.normal(size=6).tolist()) for i in range(20)], "request_id string, query_vec array<float>")
+    stored = spark.createDataFrame([(f"S{i:03d}", rng.normal(size=6).tolist()) for i in range(300)], "nric string, embedding array<float>")
+
+    def found():
+        top = retrieval.topk(asked, stored, 3, broadcast_bytes=10_000)
+        return "CoGroup" in top._jdf.queryExecution().toString(), {tuple(r) for r in top.select("request_id", "nric").collect()}
+
+    in_place, expect = found()
+    monkeypatch.setattr(retrieval, "HEAP_ROWS", 59)
+    assert not in_place and found() == (True, expect) and len(expect) == 60
