@@ -177,3 +177,18 @@ def test_requests_whose_heaps_are_too_many_are_not_held_by_every_task(spark, mon
     in_place, expect = found()
     monkeypatch.setattr(retrieval, "HEAP_ROWS", 59)
     assert not in_place and found() == (True, expect) and len(expect) == 60
+
+
+def test_vectors_without_spare_copies_are_held_once():
+    """Not once in key order and once more without the copies that none of them has; 26 MB each here."""
+    rng = np.random.default_rng(10)
+    raw = rng.normal(size=(100_000, 64)).astype(np.float32)
+    order = rng.permutation(100_000)
+    names = pa.array([f"S{i:06d}" for i in order])
+    vectors = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, 64, dtype=np.int32), pa.array(raw.ravel()))
+    tracemalloc.start()
+    keys, kept = retrieval._sorted_keys(names, vectors, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+    assert keys.equals(pa.array([f"S{i:06d}" for i in range(100_000)])) and (kept.raw == raw[np.argsort(order)]).all()
